@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
 #: Counters of a sketch: fixed, so that what is broadcast (2 bytes each) never grows with the input.
-SKETCH_BUCKETS = 1 << 22
-_BLOCKS = 16
+SKETCH_BUCKETS = 1 << 24
+_BLOCKS = 64
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -77,34 +77,35 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
 def count_sketch(df: DataFrame, hashes, kind: str = "u2") -> np.ndarray:
     """Counts of 64-bit hashes by their low bits, over all rows, in SKETCH_BUCKETS saturating counters.
 
-    hashes: function of a record batch to an array of uint64. Each task adds up its own counters and
+    hashes: function of a record batch to arrays of uint64, each without repeats. Each task adds up its own counters and
     sends them compressed, in blocks; blocks meet in a few tasks that add them as a stream.
     """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH_BUCKETS, "u4")
-        some = False
+        some, one = False, np.uint32(1)
         for b in batches:
-            h = hashes(b)
-            if len(h):
+            for h in hashes(b):
                 some = True
-                counts += np.bincount((h & np.uint64(SKETCH_BUCKETS - 1)).astype("i8"), minlength=SKETCH_BUCKETS).astype("u4")
+                np.add.at(counts, (h & np.uint64(SKETCH_BUCKETS - 1)).astype("i8"), one)
         if some:
-            blocks = [zlib.compress(x.tobytes(), 1) for x in np.split(counts, _BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array(blocks, pa.binary())], ["block", "counts"])
+            for k, x in enumerate(np.split(counts, _BLOCKS)):
+                x = x.astype("u1") if x.max() < 256 else x
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(zlib.decompress(x), "u4").astype("u8")
+                x = zlib.decompress(x)
+                x = np.frombuffer(x, "u1" if len(x) == SKETCH_BUCKETS // _BLOCKS else "u4").astype("u8")
                 sums[k] = sums[k] + x if k in sums else x
         top = np.iinfo(kind).max
         for k, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(x, top).astype(kind).tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     schema = "block int, counts binary"
-    rows = df.mapInArrow(part, schema).repartition(_BLOCKS, "block").mapInArrow(total, schema).collect()
+    rows = df.mapInArrow(part, schema).repartition(16, "block").mapInArrow(total, schema).collect()
     out = np.zeros((_BLOCKS, SKETCH_BUCKETS // _BLOCKS), kind)
     for r in rows:
         out[r[0]] = np.frombuffer(zlib.decompress(bytes(r[1])), kind)

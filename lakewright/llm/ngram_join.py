@@ -7,7 +7,6 @@ one total order of all tokens. Here every candidate pair must share a prefix tok
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,52 +14,101 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import components, count_sketch, shared_dir, staged
 
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
-_CACHE_WORDS = 200_000
-
 #: Members and shingles of a block whose pairs one task compares; larger groups are dealt out block against block.
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 600_000
 #: Tokens counted this many times more than the mean are dealt out by document too, not by token alone.
 HOT = 64
 
-_word_hash: dict[str, int] = {}
-
-
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
         h = (h ^ (h >> np.uint64(29)) ^ np.uint64(k * 0x51ED27)) * _MIX[k % 4]
         return h ^ (h >> np.uint64(32))
 
 
-def shingle_hashes(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's word shingles; A-Z lower-cased; none without words."""
-    if not text:
-        return np.empty(0, "u8")
-    found = _WORDS.findall(text.translate(_LOWER) if not text.isascii() else text.lower())
-    if not found:
-        return np.empty(0, "u8")
-    known = _word_hash
-    if len(known) > _CACHE_WORDS:
-        known.clear()
-    ids = []
-    for w in found:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=7)
-        ids.append(h)
-    a = np.array(ids, "u8")
-    k = min(words, len(a))
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype="u8") | np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
+_CHUNK = 1 << 20
+_powers = [np.ones(1, "u8"), np.ones(1, "u8")]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, _BASE_INVERSE)):
+            with np.errstate(over="ignore"):
+                _powers[k] = np.concatenate([np.ones(1, "u8"), np.multiply.accumulate(np.full(max(n, 2 * _CHUNK), base, "u8"))])
+    return _powers
+
+
+def _sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of the word shingles of each text data[offsets[k]:offsets[k + 1]].
+
+    A word's hash is a polynomial over its bytes, taken for all words at once from one running sum.
+    """
+    n = len(data)
+    space = _SPACE[data]
+    edge = np.ones(n, bool)
+    edge[1:] = space[:-1]
+    inner = offsets[(offsets > 0) & (offsets < n)]
+    edge[inner] = True
+    starts = np.nonzero(edge & ~space)[0]
+    edge = np.ones(n, bool)
+    edge[:-1] = space[1:]
+    edge[inner - 1] = True
+    ends = np.nonzero(edge & ~space)[0] + 1
+    power, inverse = _power(n)
     with np.errstate(over="ignore"):
-        h = np.full(len(a) - k + 1, k, "u8")
-        for i in range(k):
-            h = (h ^ a[i : len(a) - k + 1 + i]) * _MIX[0]
-            h ^= h >> np.uint64(31)
-    return np.unique(h)
+        total = np.zeros(n + 1, "u8")
+        np.cumsum(_BYTE[data] * power[:n], out=total[1:])
+        a = _mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype("u8"), 3)
+        cuts = np.searchsorted(starts, offsets)
+        h = None
+        if len(a) >= words:
+            h = np.full(len(a) - words + 1, words, "u8")
+            for i in range(words):
+                h = (h ^ a[i : len(a) - words + 1 + i]) * _MIX[0]
+                h ^= h >> np.uint64(31)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if high - low >= words:
+                x = h[low : high - words + 1].copy()
+            elif high > low:
+                x = np.full(1, high - low, "u8")
+                for i in range(low, high):
+                    x = (x ^ a[i : i + 1]) * _MIX[0]
+                    x ^= x >> np.uint64(31)
+            else:
+                yield np.empty(0, "u8")
+                continue
+            x.sort()
+            if len(x) > 1 and (x[1:] == x[:-1]).any():
+                x = x[np.concatenate([[True], x[1:] != x[:-1]])]
+            yield x
+
+
+def shingle_sets(texts: pa.Array, words: int) -> Iterator[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the word shingles of each text; none for null and for texts without words."""
+    texts = texts.cast(pa.large_string())
+    if not len(texts):
+        return
+    raw = texts.buffers()
+    offsets = np.frombuffer(raw[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(raw[2], "u1") if raw[2] is not None else np.empty(0, "u1")
+    null = texts.is_null().to_numpy(zero_copy_only=False)
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + _CHUNK, "right")) - 1)
+        high = min(high, len(texts))
+        got = _sets(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], words)
+        yield from (x[:0] if null[low + k] else x for k, x in enumerate(got))
+        low = high
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -69,17 +117,25 @@ def prefix_length(n: int, percent: int) -> int:
 
 def orders(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Positions of h's tokens under each global order."""
-    c = counts[(h & np.uint64(len(counts) - 1)).astype("i8")]
-    level = np.log2(c.astype("f4") + 1).astype("u1")
-    return [np.lexsort((h, c)), np.lexsort((_mix(h, 1), level)), np.argsort(_mix(h, 2), kind="stable")]
+    level = np.log2(_counted(h, counts).astype("f4") + 1).astype("u1")
+    return [rare_first(h, counts), np.lexsort((_mix(h, 1), level)), np.argsort(_mix(h, 2), kind="stable")]
+
+
+def _counted(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return counts[(h & np.uint64(len(counts) - 1)).astype("i8")]
+
+
+def rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Positions of h's tokens (ascending hashes) by count, then hash."""
+    return np.argsort(_counted(h, counts), kind="stable")
 
 
 def set_id(h: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
 
 
-def _texts(b: pa.RecordBatch) -> list[str | None]:
-    return b.column(b.schema.get_field_index("text")).to_pylist()
+def _sets_of(b: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
+    return shingle_sets(b.column(b.schema.get_field_index("text")), words)
 
 
 class _Find:
@@ -158,7 +214,7 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     shared_dir(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    counts = count_sketch(docs, lambda b: np.concatenate([np.empty(0, "u8"), *(shingle_hashes(t, words) for t in _texts(b))]))
+    counts = count_sketch(docs, lambda b: _sets_of(b, words))
     told = spark.sparkContext.broadcast(counts)
     hot = int(HOT * (counts.mean() + 1))
 
@@ -166,13 +222,12 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
         c = told.value
         for b in batches:
             ids, n, sid, tokens, heat = b.column(0), [], [], [], []
-            for t in _texts(b):
-                h = shingle_hashes(t, words)
+            for h in _sets_of(b, words):
                 n.append(len(h))
                 sid.append(set_id(h) if len(h) else None)
-                first = h[orders(h, c)[0][: prefix_length(len(h), percent)]] if len(h) else h
+                first = h[rare_first(h, c)[: prefix_length(len(h), percent)]] if len(h) else h
                 tokens.append(first.view("i8"))
-                heat.append(c[(first & np.uint64(len(c) - 1)).astype("i8")] > hot)
+                heat.append(_counted(first, c) > hot)
             at = np.cumsum([0, *map(len, tokens)]).astype("i4")
             flat = np.concatenate(tokens) if tokens else np.empty(0, "i8")
             hots = np.concatenate(heat) if heat else np.empty(0, bool)
@@ -183,12 +238,19 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     members = first.select("doc_id", "n", "sid")
     sets = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
 
-    rows = first.where("sid is not null").select("sid", "n", F.explode(F.arrays_zip("tokens", "hots")).alias("x")).select("sid", "n", F.col("x.tokens").alias("token"), F.col("x.hots").alias("hot"))
-    from pyspark.sql import Window
-
+    rows = first.where("sid is not null").select("sid", "n", F.posexplode(F.arrays_zip("tokens", "hots"))).select("sid", "n", F.col("pos").alias("place"), F.col("col.tokens").alias("token"), F.col("col.hots").alias("hot"))
     w = Window.partitionBy("token")
     alike = rows.where("not hot").withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where("lo <> hi")
-    met = staged(alike.select("token", "sid", "n").unionByName(rows.where("hot").select("token", "sid", "n")).distinct(), "met")
+    cols = ["token", "sid", "n", "place"]
+    met = staged(alike.select(cols).unionByName(rows.where("hot").select(cols)).distinct(), "met")
+
+    # Of a pair that links, the smaller set has their first common token early: at most n - 2t/(1+t) n places in. A row
+    # stays if its token has a partner of fitting size: a smaller one that has it early, or a larger one if it has it early.
+    early = F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)
+    by_size = w.orderBy("n", "sid")
+    met = met.withColumns({"early": early, "smaller": F.max(F.when(early, F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), "larger": F.lead("n").over(by_size)})
+    met = met.where((100 * F.col("smaller") >= percent * F.col("n")) | (F.col("early") & (percent * F.col("larger") <= 100 * F.col("n"))))
+    met = staged(met.select("token", "sid", "n"), "fitting")
 
     # Tokens that have the very same members say the same: one of them stays, known by two sums of hashes.
     mark = lambda seed: F.sum(F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(1 << 30)))
@@ -210,7 +272,7 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     wanted = staged(whole.unionByName(big).join(sets.select("sid", "first_id"), "sid"), "wanted")
 
     # Which documents' sets are needed: a bitmap of fixed size in front of the exact join.
-    asked = count_sketch(wanted.select(F.xxhash64("first_id").alias("h")), lambda b: np.asarray(b.column(0)).view("u8"), "u1") > 0
+    asked = count_sketch(wanted.select(F.xxhash64("first_id").alias("h")), lambda b: [np.asarray(b.column(0)).view("u8")], "u1") > 0
     ask = spark.sparkContext.broadcast(np.packbits(asked))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +281,7 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
             keep = bits[np.asarray(b.column(2)).view("u8") & np.uint64(len(bits) - 1)]
             if keep.any():
                 b = b.filter(pa.array(keep))
-                got = [shingle_hashes(t, words).tobytes() for t in _texts(b)]
+                got = [h.tobytes() for h in _sets_of(b, words)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["first_id", "shingles"])
 
     whole_sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(needed, "first_id long, shingles binary")

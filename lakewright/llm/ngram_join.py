@@ -258,18 +258,19 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     groups = staged(groups.groupBy("m", "x", "y").agg(F.min_by(F.struct("token", "weight", "head"), "token").alias("g")).selectExpr("g.token", "m", "g.weight", "g.head"), "groups")
     near = staged(met.join(groups, "token"), "near")
 
-    # Groups that touch are compared as one while that is small, so that each set travels once.
-    label = components(near.select(F.col("sid").alias("a"), F.col("head").alias("b")))
-    parts = near.select("sid", "n").distinct().join(label.selectExpr("node sid", "component"), "sid")
-    size = parts.groupBy("component").agg(F.count("*").alias("cm"), F.sum(F.col("n").cast("long")).alias("cw"))
-    small = (F.col("cm") <= BLOCK_MEMBERS) & (F.col("cw") <= BLOCK_SHINGLES)
-    parts = staged(parts.join(size, "component"), "parts")
+    # Groups that touch are compared as one where that sends fewer sets about than taking them one by one.
+    label = components(near.select(F.col("sid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "sid")
     deal = lambda m, x: F.greatest(F.ceil(F.col(m) / BLOCK_MEMBERS), F.ceil(F.col(x) / BLOCK_SHINGLES)).cast("int")
-    whole = parts.where(small).select(F.col("component").alias("key"), "sid", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("side"))
-    big = parts.where(~small).select("sid").join(near, "sid").withColumn("blocks", deal("m", "weight"))
-    big = big.withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    big = big.select(F.col("token").alias("key"), "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wanted = staged(whole.unionByName(big).join(sets.select("sid", "first_id"), "sid"), "wanted")
+    parts = near.select("sid", "n").distinct().join(label, "sid")
+    size = parts.groupBy("component").agg(F.count("*").alias("cm"), F.sum(F.col("n").cast("long")).alias("cw"))
+    cost = groups.join(label, groups["head"] == label["sid"]).groupBy("component").agg(F.sum(F.col("m") * deal("m", "weight")).alias("apart"))
+    size = size.join(cost, "component").withColumn("blocks", deal("cm", "cw")).withColumn("together", F.col("cm") * F.col("blocks") <= F.col("apart"))
+    parts = staged(parts.join(size, "component").select("sid", "component", "blocks", "together"), "parts")
+    whole = parts.where("together").select(F.col("component").alias("key"), "sid", "blocks")
+    apart = parts.where("not together").select("sid").join(near, "sid").select(F.col("token").alias("key"), "sid", deal("m", "weight").alias("blocks"))
+    wanted = whole.unionByName(apart).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    wanted = wanted.select("key", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    wanted = staged(wanted.join(sets.select("sid", "first_id"), "sid"), "wanted")
 
     # Which documents' sets are needed: a bitmap of fixed size in front of the exact join.
     asked = count_sketch(wanted.select(F.xxhash64("first_id").alias("h")), lambda b: [np.asarray(b.column(0)).view("u8")], "u1") > 0

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, count_sketch, shared_dir, staged
+from .common import components, count_sketch, release, shared_dir, staged
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Members and shingles of a block whose pairs one task compares; larger groups are dealt out block against block.
@@ -198,6 +198,53 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, counts: np.ndarray, p
     yield from zip(a[ok].tolist(), b[ok].tolist(), strict=True)
 
 
+class _Identify:
+    """doc_id, n, sid of each text."""
+
+    def __init__(self, words: int):
+        self.words = words
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(len(h), set_id(h) if len(h) else None) for h in _sets_of(b, self.words)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64())], ["doc_id", "n", "sid"])
+
+
+class _Prefixes:
+    """sid, tokens of the prefix under the first order, and a code for each: 4 n + 2 if it is early + 1 if it is counted very often.
+
+    Of a pair that links, the smaller set has their first common token early: at most n (1 - t) / (1 + t) places in.
+    """
+
+    def __init__(self, told, hot: int, percent: int, words: int):
+        self.told, self.hot, self.percent, self.words = told, hot, percent, words
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = self.told.value
+        for b in batches:
+            sid, tokens, codes = [], [np.empty(0, "i8")], [np.empty(0, "i8")]
+            for h in _sets_of(b, self.words):
+                if len(h):
+                    first = h[rare_first(h, c)[: prefix_length(len(h), self.percent)]]
+                    early = np.arange(len(first)) * (100 + self.percent) <= len(h) * (100 - self.percent)
+                    sid.append(set_id(h))
+                    tokens.append(first.view("i8"))
+                    codes.append(4 * len(h) + 2 * early + (_counted(first, c) > self.hot))
+            at = pa.array(np.cumsum([len(x) for x in tokens]).astype("i4"), pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x).astype("i8"))) for x in (tokens, codes)]
+            yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), *lists], ["sid", "tokens", "codes"])
+
+
+def _met(prefixes: DataFrame) -> DataFrame:
+    """token, sid, n, early of the prefix tokens that two different sets share, or that are hot."""
+    rows = prefixes.select("sid", F.explode(F.arrays_zip("tokens", "codes")).alias("x")).select(F.col("x.tokens").alias("token"), "sid", F.col("x.codes").alias("code"))
+    # One exchange serves both kinds of token: hot ones are dealt out by set too, and pass.
+    hot = F.col("code") % 2 == 1
+    w = Window.partitionBy("token", F.when(hot, F.col("sid")))
+    alike = rows.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where(hot | (F.col("lo") != F.col("hi")))
+    return staged(alike.select("token", "sid", "code").distinct().selectExpr("token", "sid", "cast(code div 4 as int) n", "(code div 2) % 2 = 1 early"), "met")
+
+
 def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs.
 
@@ -218,37 +265,15 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     told = spark.sparkContext.broadcast(counts)
     hot = int(HOT * (counts.mean() + 1))
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = told.value
-        for b in batches:
-            ids, n, sid, tokens, heat = b.column(0), [], [], [], []
-            for h in _sets_of(b, words):
-                n.append(len(h))
-                sid.append(set_id(h) if len(h) else None)
-                first = h[rare_first(h, c)[: prefix_length(len(h), percent)]] if len(h) else h
-                tokens.append(first.view("i8"))
-                heat.append(_counted(first, c) > hot)
-            at = np.cumsum([0, *map(len, tokens)]).astype("i4")
-            flat = np.concatenate(tokens) if tokens else np.empty(0, "i8")
-            hots = np.concatenate(heat) if heat else np.empty(0, bool)
-            lists = [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(x)) for x in (flat, hots)]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int32()), pa.array(sid, pa.int64()), *lists], ["doc_id", "n", "sid", "tokens", "hots"])
-
-    first = staged(docs.mapInArrow(prefixes, "doc_id long, n int, sid long, tokens array<long>, hots array<boolean>"), "prefixes")
-    members = first.select("doc_id", "n", "sid")
+    members = staged(docs.mapInArrow(_Identify(words), "doc_id long, n int, sid long"), "members")
     sets = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
+    met = _met(docs.select("text").mapInArrow(_Prefixes(told, hot, percent, words), "sid long, tokens array<long>, codes array<long>"))
+    release(spark)
 
-    rows = first.where("sid is not null").select("sid", "n", F.posexplode(F.arrays_zip("tokens", "hots"))).select("sid", "n", F.col("pos").alias("place"), F.col("col.tokens").alias("token"), F.col("col.hots").alias("hot"))
+    # A row stays if its token has a partner of fitting size: a smaller one that has it early, or a larger one if it has it early.
     w = Window.partitionBy("token")
-    alike = rows.where("not hot").withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where("lo <> hi")
-    cols = ["token", "sid", "n", "place"]
-    met = staged(alike.select(cols).unionByName(rows.where("hot").select(cols)).distinct(), "met")
-
-    # Of a pair that links, the smaller set has their first common token early: at most n - 2t/(1+t) n places in. A row
-    # stays if its token has a partner of fitting size: a smaller one that has it early, or a larger one if it has it early.
-    early = F.col("place") * (100 + percent) <= F.col("n") * (100 - percent)
     by_size = w.orderBy("n", "sid")
-    met = met.withColumns({"early": early, "smaller": F.max(F.when(early, F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), "larger": F.lead("n").over(by_size)})
+    met = met.withColumns({"smaller": F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), "larger": F.lead("n").over(by_size)})
     met = met.where((100 * F.col("smaller") >= percent * F.col("n")) | (F.col("early") & (percent * F.col("larger") <= 100 * F.col("n"))))
     met = staged(met.select("token", "sid", "n"), "fitting")
 

@@ -99,13 +99,13 @@ def _lookup(bucket: np.ndarray):
     return of
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_TRAIN_ROWS, seed: int = 11) -> FactorizationMachine:
-    """A machine for labelled (id, text, label 0 or 1); rows with a null label are left out.
+def fit(labelled: DataFrame, seed: int = 11) -> FactorizationMachine:
+    """A machine for labelled (id, text, label 0 or 1), a bounded table such as labelled_rows() gives; rows with a null label are left out.
 
     Without rows of both labels it has no terms, and its bias is the log odds of the (smoothed) share of ones.
     """
     rows = labelled.where("label in (0, 1)").select("id", "text", F.col("label").cast("int").alias("label"))
-    train = staged(rows.orderBy(F.xxhash64("id"), "id", "text").limit(max_rows).select("text", "label").repartition(8), "toxic-train")
+    train = staged(rows.select("text", "label"), "toxic-train")
     bucket = np.array(_chosen(train), "i8")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import atexit
 import gc
+import shutil
 import tempfile
 import uuid
+import zipfile
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +27,32 @@ _BLOCKS = 64
 _staged: list[tuple[SparkSession, str]] = []
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, which may not have it installed; once a Spark application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        _shipped.add(context.applicationId)
+        top = Path(__file__).resolve().parents[2]
+        target = Path(tempfile.mkdtemp(prefix="lakewright-")) / "lakewright.zip"  # the driver serves it as long as it runs
+        atexit.register(shutil.rmtree, target.parent, True)
+        with zipfile.ZipFile(target, "w") as z:
+            for p in sorted((top / "lakewright").rglob("*.py")):
+                z.write(p, p.relative_to(top))
+        context.addPyFile(str(target))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the data folder, read by Spark alone, so that any store Spark knows will do."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
+    ship(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -76,11 +98,6 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow under a shorter name."""
-    return df.mapInArrow(function, schema)
-
-
 def count_sketch(df: DataFrame, hashes, kind: str = "u2") -> np.ndarray:
     """Counts of 64-bit hashes by their low bits, over all rows, in SKETCH_BUCKETS saturating counters.
 

@@ -240,9 +240,11 @@ def _met(prefixes: DataFrame) -> DataFrame:
     rows = prefixes.select("sid", F.explode(F.arrays_zip("tokens", "codes")).alias("x")).select(F.col("x.tokens").alias("token"), "sid", F.col("x.codes").alias("code"))
     # One exchange serves both kinds of token: hot ones are dealt out by set too, and pass.
     hot = F.col("code") % 2 == 1
-    w = Window.partitionBy("token", F.when(hot, F.col("sid")))
-    alike = rows.withColumns({"lo": F.min("sid").over(w), "hi": F.max("sid").over(w)}).where(hot | (F.col("lo") != F.col("hi")))
-    return staged(alike.select("token", "sid", "code").distinct().selectExpr("token", "sid", "cast(code div 4 as int) n", "(code div 2) % 2 = 1 early"), "met")
+    w = Window.partitionBy("token", F.when(hot, F.col("sid"))).orderBy("sid")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    alike = rows.withColumns({"lo": F.first("sid").over(whole), "hi": F.last("sid").over(whole), "before": F.lag("sid").over(w)})
+    alike = alike.where((hot | (F.col("lo") != F.col("hi"))) & ~F.col("before").eqNullSafe(F.col("sid")))
+    return alike.selectExpr("token", "sid", "cast(code div 4 as int) n", "(code div 2) % 2 = 1 early")
 
 
 def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,20 +309,26 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
             keep = bits[np.asarray(b.column(2)).view("u8") & np.uint64(len(bits) - 1)]
             if keep.any():
                 b = b.filter(pa.array(keep))
-                got = [h.tobytes() for h in _sets_of(b, words)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["first_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["first_id", "text"])
 
-    whole_sets = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(needed, "first_id long, shingles binary")
-    whole_sets = whole_sets.select("first_id", "shingles")
-    dealt = wanted.join(whole_sets, "first_id").select("key", "i", "j", "side", "sid", "shingles")
+    asked_texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(needed, "first_id long, text string")
+    # Texts travel, not their sets: they are smaller once compressed.
+    dealt = wanted.join(asked_texts, "first_id").select("key", "i", "j", "side", "sid", "text")
     parts_n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = dealt.repartition(parts_n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = told.value
-        at, sids, sides, sets_ = None, [], [], []
+        at, rows = None, []
 
         def links() -> pa.RecordBatch:
+            sids, sides, sets_ = [], [], []
+            for (sid, side, _), h in zip(rows, shingle_sets(pa.array([t for _, _, t in rows], pa.large_string()), words), strict=True):
+                # an id can stand on several rows: each set is taken once, from a row that has it
+                if len(h) and set_id(h) == sid and not (sids and sids[-1] == sid):
+                    sids.append(sid)
+                    sides.append(side)
+                    sets_.append(h)
             find = _Find(len(sids))
             if len(sids) > 1:
                 for a, b in linked_pairs(sets_, np.array(sides), c, percent):
@@ -329,19 +337,13 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in to], pa.int64()), pa.array([x for _, x in to], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, i, j, side, sid, raw in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, i, j, side, sid, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, i, j) != at:
-                    if len(sids) > 1:
+                    if len(rows) > 1:
                         yield links()
-                    at, sids, sides, sets_ = (key, i, j), [], [], []
-                if sids and sids[-1] == sid and set_id(sets_[-1]) == sid:
-                    continue  # the same document id on several rows
-                h = np.frombuffer(raw, "u8")
-                if len(h) and set_id(h) == sid:
-                    sids.append(sid)
-                    sides.append(side)
-                    sets_.append(h)
-        if len(sids) > 1:
+                    at, rows = (key, i, j), []
+                rows.append((sid, side, text))
+        if len(rows) > 1:
             yield links()
 
     joined = components(dealt.mapInArrow(compare, "a long, b long"))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 SPACE = "▁"
 #: Stretches remembered by a worker, at most twice this many: about 250 bytes each.
 _CACHE_WORDS = 400_000
@@ -201,6 +203,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
     A null text counts as empty: begin and end alone. Each whole text is encoded by itself, so repeated rows
     get equal results; an empty table stays empty; other columns pass through.
     """
+    ship(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
     docs = docs.withColumn("_t", F.col(text_col).cast("string")).drop(*names)
     at = docs.columns.index("_t")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import ship, staged
 
 BUCKETS, FEATURES, FACTORS = 1 << 18, 1024, 8
 #: The fit reads at most this many labelled rows, those with the smallest hashes of their ids.
@@ -154,6 +154,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
     Each whole text is scored by itself: null and empty texts get the score of no terms, repeated rows get
     equal scores, an empty table stays empty, other columns pass through.
     """
+    ship(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES terms at most
     docs = docs.drop("score")
     at = docs.columns.index(text_col)

@@ -23,7 +23,8 @@ from .common import staged
 CAPACITY, OPEN_WINDOWS = 2048, 64
 #: Partitions whose open windows meet in one task at the end.
 MERGED_PARTITIONS = 64
-_CACHE_WORDS = 400_000
+#: Runs remembered by a worker, at most twice this many: about 210 bytes each.
+_CACHE_WORDS = 200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -164,6 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                         start += size
             yield _rows(out)
         yield _rows([(None, -1, fill, 0, 0, seq, 0, part) for fill, seq in windows.open])
+        encoder.old = {}  # the worker lives on
 
     whole = staged(docs.mapInArrow(first, PIECES + ", part int"), "packed")
     left = whole.where("start = -1").select("sequence_id", "length", "part")

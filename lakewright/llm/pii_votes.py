@@ -22,7 +22,7 @@ KINDS = (*BASE, "national", "secret")
 
 # What the gazetteer labeler knows.
 GAZETTEER = {
-    "email": r"@(?:[A-Za-z0-9-]+\.)*(?:gmail|yahoo|hotmail|outlook|example|mail[0-9]*)\.|\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
+    "email": r"[@.](?:gmail|yahoo|hotmail|outlook|example|mail[0-9]*)\.|\.(?:com|org|net|edu|gov|io|de|fr|es|uk)$",
     "ip": r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2[0-9]|3[01])\.|169\.254\.)",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6(?:011|5))",
     "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",

@@ -155,7 +155,7 @@ SQL: dict[str, _Entry] = {
     "fts_contains_word": (engine_queries.search("contains", "the"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'the')"),
     "fts_contains_all": (engine_queries.search("contains", "the and tion"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')"),
     "fts_contains_phrase": (engine_queries.search("contains", '"rights reserved"'), "SELECT doc_id FROM documents WHERE contains(lower(text), 'rights reserved')"),
-    "fts_contains_prefix": (engine_queries.search("contains", "wor*"), "SELECT doc_id FROM documents WHERE len(list_filter(string_split_regex(lower(text), '\\s+'), t -> starts_with(t, 'wor'))) > 0"),
+    "fts_contains_prefix": (engine_queries.search("contains", "wor*"), "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|\\s)wor')"),
     "fts_freetext_any": (engine_queries.search("freetext", "idiot licensed"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'licensed')"),
     # the engine's own statements, returned as frames
     "dml_insert": (engine_queries.dml_insert, "SELECT * FROM region UNION ALL SELECT 100, 'ATLANTIS'"),

@@ -101,7 +101,7 @@ def test_alter_views_sequences_and_catalog(e, tmp_path):
 
 
 def test_dialects_leave_literals_alone():
-    assert dialect.rewrite("SELECT TOP 3 [a], LEN(N'[dbo].x; TOP 5') FROM [dbo].[t] WITH (NOLOCK)") == "SELECT `a`, char_length('[dbo].x; TOP 5') FROM `t`  LIMIT 3"
+    assert dialect.rewrite("SELECT TOP 3 [a], LEN(N'[dbo].x; TOP 5') FROM [dbo].[t] WITH (NOLOCK)") == "SELECT `a`, char_length('[dbo].x; TOP 5') FROM `t` LIMIT 3"
     assert dialect.statements("a 'x;y'; b -- c;\n; ") == ["a 'x;y'", "b"]
     assert dialect.rewrite("SELECT ISNULL(a, 'ISNULL(') AS x") == "SELECT coalesce(a, 'ISNULL(') AS x"
 

@@ -24,7 +24,7 @@ CAPACITY, OPEN_WINDOWS = 2048, 64
 #: Partitions whose open windows meet in one task at the end.
 MERGED_PARTITIONS = 64
 #: Runs remembered by a worker, at most twice this many: about 210 bytes each.
-_CACHE_WORDS = 200_000
+_CACHE_WORDS = 300_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -36,7 +36,7 @@ class Encoder:
     ids are known; a run that holds this sign is encoded alone.
     """
 
-    SIGN = ""
+    SIGN = "^"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -77,11 +77,19 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > _CACHE_WORDS:
             self.old, self.young = self.young, {"": b""}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        young, old, new, marked = self.young, self.old, {}, []
-        for runs in split:
-            for r in runs:
-                if r not in young:
+        # The tokenizer lower-cases; only the strings of its special tokens must be met as they are written.
+        texts = [t.lower() if t and t.isascii() and "<|" not in t else t or "" for t in texts]
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        young, old, new, marked, todo = self.young, self.old, {}, [], []
+        out = [list(map(young.get, runs)) for runs in split]
+        for runs, parts in zip(split, out, strict=True):
+            if None in parts:
+                missing = [k for k, x in enumerate(parts) if x is None]
+                todo.append((runs, parts, missing))
+                for k in missing:
+                    r = runs[k]
+                    if r in young:
+                        continue
                     if (got := old.get(r)) is not None:
                         young[r] = got
                     elif r[-1] in ".,;:" and r[-2:-1].isalnum():  # a mark is a word of its own after a letter or digit
@@ -91,14 +99,14 @@ class Encoder:
                                 new[x] = None
                     else:
                         new[r] = None
-            if len(new) > 4096:
-                self.learn(list(new))
-                new.clear()
         if new:
             self.learn(list(new))
         for r in marked:
             young[r] = young[r[:-1]] + young[r[-1]]
-        return [b"".join([young[r] for r in runs]) for runs in split]
+        for runs, parts, missing in todo:
+            for k in missing:
+                parts[k] = young[runs[k]]
+        return [b"".join(parts) for parts in out]
 
 
 _encoders: dict[str, Encoder] = {}

@@ -158,6 +158,8 @@ def _top(rows: DataFrame, k: int) -> DataFrame:
 
 def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int) -> dict[int, list[int]]:
     """The k best rows of a bounded list of queries, by a scan of all rows in blocks."""
+    if not queries:
+        return {}
     told = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([v for _, v in queries])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,7 +9,7 @@ import tempfile
 import uuid
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -50,6 +50,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with its columns of these names (in any case) renamed, and a function that gives a frame the old names back."""
+    taken, moved = {c.lower() for c in docs.columns} | set(names), {}
+    for c in docs.columns:
+        if c.lower() in names:
+            new = c
+            while new.lower() in taken:
+                new = "_" + new
+            taken.add(new.lower())
+            moved[c] = new
+    return docs.withColumnsRenamed(moved), lambda df: df.withColumnsRenamed({new: c for c, new in moved.items()})
+
+
+def columns_of(frame: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order, from frame; names may hold dots."""
+    return frame.select(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one in local mode."""
     ship(spark)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import components, count_sketch, release, shared_dir, staged
+from .common import columns_of, components, count_sketch, release, shared_dir, staged
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Members and shingles of a block whose pairs one task compares; larger groups are dealt out block against block.
@@ -254,7 +254,8 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     shingles; component_id is the smallest id reachable by links. Other columns are ignored, whatever
     their names. A null, empty or blank text has an empty set and links with nothing (component_id is its
     own id). Rows that repeat, texts or ids, are kept, one output row each. An empty table gives no rows;
-    rows with a null id take part and get the smallest id of their component, null if there is none.
+    rows with a null id are told by their sets: with the set of a row that has an id they get that row's
+    component, else they link with nothing and their component is null.
 
     Equal sets meet first by a hash of the whole set, so copies cost one row each. The token counts that
     order the tokens cover all documents, in a sketch of fixed size: it steers the order only, not the result.
@@ -360,4 +361,4 @@ def keep_one(docs: DataFrame, percent: int = 85, words: int = 4) -> DataFrame:
     groups = similar_groups(docs, percent, words)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    return known.join(gone, "doc_id", "left_anti").select(docs.columns).dropDuplicates(["doc_id"]).unionByName(unknown)
+    return columns_of(known.join(gone, "doc_id", "left_anti"), docs).dropDuplicates(["doc_id"]).union(columns_of(unknown, docs))

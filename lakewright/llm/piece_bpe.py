@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import aside, ship
 
 SPACE = "▁"
 #: Stretches remembered by a worker, at most twice this many: about 250 bytes each.
@@ -205,7 +205,8 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
     """
     ship(docs.sparkSession)
     names = ["n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids, *["decoded"] * with_text]
-    docs = docs.withColumn("_t", F.col(text_col).cast("string")).drop(*names)
+    docs, back = aside(docs.drop(*names), "_t")
+    docs = docs.withColumn("_t", F.col(text_col).cast("string"))
     at = docs.columns.index("_t")
     others = [c for c in docs.columns if c != "_t"]
 
@@ -231,4 +232,4 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
         schema = schema.add("ids", BinaryType())
     if with_text:
         schema = schema.add("decoded", StringType())
-    return docs.mapInArrow(of, schema)
+    return back(docs.mapInArrow(of, schema))

@@ -14,6 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import aside, columns_of
 from .quality_rules import _q, let
 
 # The kinds in the order in which spans are listed; the first four are the base.
@@ -177,10 +178,11 @@ def annotate(docs: DataFrame, text_col: str = "text", weights: dict[str, list[fl
     columns pass through, but for one named spans, which is replaced.
     """
     weights = fit(docs, text_col) if weights is None else weights
+    docs, back = aside(docs.drop("spans"), "_t", "_c")
     out = _with_candidates(docs, text_col)
     order = ", ".join(f"'{k}', {i}" for i, k in enumerate(KINDS))
     kept = f"transform(sort_array(transform(filter(_c, c -> {_accepted(weights)}), c -> struct(map({order})[c.kind] as o, c.start as start, c.stop as stop, c.kind as kind, c.base as base))), c -> struct(c.kind, c.start, c.stop, c.base))"
-    return out.withColumn("spans", F.expr(kept)).drop("_t", "_c")
+    return back(out.withColumn("spans", F.expr(kept)).drop("_t", "_c"))
 
 
 def listed(spans: str) -> str:
@@ -203,8 +205,8 @@ def masked(text_col: str = "text") -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with their personal data masked; same columns (n_chars follows the text where there is one)."""
-    own = docs.withColumnRenamed("spans", "_own_spans") if "spans" in docs.columns else docs
-    out = annotate(own, text_col).withColumn(text_col, masked(text_col)).drop("spans").withColumnRenamed("_own_spans", "spans")
+    own, back = aside(docs, "spans")
+    out = back(annotate(own, text_col).withColumn(text_col, masked(text_col)).drop("spans"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return columns_of(out, docs)

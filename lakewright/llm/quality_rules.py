@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SPLIT
+from .common import WORD_SPLIT, aside, columns_of
 
 # Signs counted as symbols, and phrases of licence, consent and navigation lines.
 SYMBOLS = "[#*$%&|<>]"
@@ -72,6 +72,7 @@ def assess(docs: DataFrame, text_col: str = "text", loss_percent: int = LOSS_PER
     columns pass through (a column that is named quality already is replaced). A text of any length is judged whole.
     """
     t = "_t"
+    docs, back = aside(docs.drop("quality"), t, "_w", "_l")
     out = docs.withColumn(t, F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     out = out.withColumns({"_w": F.expr(words_of(t)), "_l": F.expr(line_verdicts(t))})
     worded = "transform(filter(_l, x -> x.n > 0), x -> x.line)"
@@ -91,13 +92,14 @@ def assess(docs: DataFrame, text_col: str = "text", loss_percent: int = LOSS_PER
     q = lambda k: F.col("quality")[k]
     failed = (q("n_words") < MIN_WORDS) | (100 * q("n_repeat_words") > REPEAT_PERCENT * q("n_words"))
     kept = ~failed & (100 * q("lost_words") <= loss_percent * q("n_words"))
-    return out.withColumn("quality", F.col("quality").withField("base_failed", failed).withField("kept", kept))
+    return back(out.withColumn("quality", F.col("quality").withField("base_failed", failed).withField("kept", kept)))
 
 
 def clean(docs: DataFrame, text_col: str = "text", loss_percent: int = LOSS_PERCENT) -> DataFrame:
     """The documents kept, without their failing lines; same columns as docs (n_chars follows the text where there is one)."""
-    kept = assess(docs.withColumnRenamed("quality", "_own_quality") if "quality" in docs.columns else docs, text_col, loss_percent).where("quality.kept")
-    kept = kept.withColumn(text_col, F.col("quality.clean_text")).drop("quality").withColumnRenamed("_own_quality", "quality")
+    own, back = aside(docs, "quality")
+    kept = assess(own, text_col, loss_percent).where("quality.kept")
+    kept = back(kept.withColumn(text_col, F.col("quality.clean_text")).drop("quality"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
-    return kept.select(docs.columns)
+    return columns_of(kept, docs)

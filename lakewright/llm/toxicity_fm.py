@@ -102,7 +102,8 @@ def _lookup(bucket: np.ndarray):
 def fit(labelled: DataFrame, seed: int = 11) -> FactorizationMachine:
     """A machine for labelled (id, text, label 0 or 1), a bounded table such as labelled_rows() gives; rows with a null label are left out.
 
-    Without rows of both labels it has no terms, and its bias is the log odds of the (smoothed) share of ones.
+    Without rows of both labels it has no terms, and its bias is the log odds of the (smoothed) share of ones, even
+    odds at most: rows of label 1 alone say nothing about what the others look like.
     """
     rows = labelled.where("label in (0, 1)").select("id", "text", F.col("label").cast("int").alias("label"))
     train = staged(rows.select("text", "label"), "toxic-train")
@@ -121,6 +122,7 @@ def fit(labelled: DataFrame, seed: int = 11) -> FactorizationMachine:
     k = len(bucket)
     model = FactorizationMachine(bucket, float(np.log(share / (1 - share))), np.zeros(k, "f4"), rng.normal(0, 0.02, (k, FACTORS)).astype("f4"))
     if not k:
+        model.bias = min(model.bias, 0.0)
         return model
     x = np.zeros((len(got), k), "u1")
     for i, r in enumerate(got):

@@ -39,14 +39,14 @@ def _http(payload_bytes: int) -> bytes:
     return f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
 
 
-def make_record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One gzip member: a response with its payload, or a revisit with the HTTP header alone."""
     block = _http(len(payload)) + (payload if refers_to is None else b"")
     target = (url or "").replace("\r", "%0D").replace("\n", "%0A")
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{page_id}>",
+        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
         *([f"WARC-Target-URI: {target}"] if target else []),
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -137,7 +137,7 @@ def parse(record: Record) -> dict:
     revisit = h["warc-type"] == "revisit"
     if not revisit and (len(body) != length or hashlib.sha256(body).hexdigest() != digest):
         raise ValueError(f"payload and digest differ in {h['warc-record-id']}")
-    number = lambda x: int(x.rstrip(">").rpartition(":")[2])
+    number = lambda x: int(n) if (n := x.rstrip(">").rpartition(":")[2]) else None
     return {
         "page_id": number(h["warc-record-id"]), "url": h.get("warc-target-uri"), "payload": None if revisit else body, "payload_bytes": length, "payload_digest": digest,
         "record_type": h["warc-type"], "refers_to": number(h["warc-refers-to"]) if revisit else None,
@@ -166,8 +166,8 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
     """Write every page (page_id, url, html) as a WARC record; (archive, records, bytes) of the files written.
 
     A null html is an empty payload; a null url has no target header; rows that repeat, page_ids included, are
-    written one by one (equal rows of one smallest id are all responses); null page_ids are refused. Other
-    columns are ignored, an empty table writes no archive. folder: a URI that Arrow can open, on storage that all
+    written one by one (equal rows of one smallest id are all responses). A page without an id is a response,
+    has no number in its record id and is referred to by none. Other columns are ignored, an empty table writes no archive. folder: a URI that Arrow can open, on storage that all
     executors share. Each task writes under a name of its own attempt and renames at the end, so a task that
     is run again leaves no half archive in the result.
     """
@@ -188,8 +188,6 @@ def write_archives(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
         for b in batches:
             for page, digest, url, html, refers in zip(*(b.column(k).to_pylist() for k in ("page_id", "digest", "url", "html", "refers_to")), strict=True):
-                if page is None:
-                    raise ValueError("a page without page_id")
                 if out is None:
                     name = posixpath.join(top, f".open-{uuid.uuid4().hex}")
                     out, records, size = where.open_output_stream(name), 0, 0

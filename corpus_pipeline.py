@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakewright.llm import ngram_join, packing, pii_votes, quality_rules, toxicity_fm
-from lakewright.llm.common import staged, table
+from lakewright.llm.common import aside, columns_of, staged, table
 from lakewright.llm.queries import tokenizer_file
 
 
@@ -22,9 +22,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the factorization machine calls toxic; it is fitted on those at hand that have labels."""
     model = toxicity_fm.fit(toxicity_fm.labelled_rows(docs, table(spark, sf_dir, "labels"), "toxic"))
-    own = docs.withColumnRenamed("score", "_own_score")
+    own, back = aside(docs, "score")
     scored = toxicity_fm.score(own, model).where(F.col("score") < toxicity_fm.THRESHOLD)
-    return scored.drop("score").withColumnRenamed("_own_score", "score").select(docs.columns)
+    return columns_of(back(scored.drop("score")), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

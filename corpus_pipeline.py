@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of similar ones: that with the smallest id."""
-    return ngram_join.keep_one(docs, percent=85, words=4)
+    """Keep one document of each group of similar ones: that with the smallest id. Similar: 0.8 or more on 5-word shingles."""
+    return ngram_join.keep_one(docs, percent=80, words=5)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,3 +41,8 @@ def test_query(spark, duck, name):
     expected = duck.sql(sql).df()
     assert sorted(got.columns) == sorted(expected.columns)
     assert rows(got) == rows(expected)
+
+
+@pytest.mark.parametrize(("name", "whole"), [("expr_arith", "lineitem"), ("expr_modulo", "orders"), ("fn_datediff", "lineitem JOIN orders ON l_orderkey = o_orderkey")])
+def test_whole_table(spark, duck, name, whole):
+    assert registry.queries()[name](spark, DATA).count() == duck.sql(f"SELECT COUNT(*) FROM {whole}").fetchall()[0][0]

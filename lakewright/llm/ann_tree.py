@@ -3,6 +3,10 @@
 The tree is fitted on a bounded sample; every vector is filed under a leaf. A query walks the tree with a
 priority queue of branches and visits leaves in the order of their bounds. How many leaves it visits is widened,
 on a bounded set of queries whose true neighbours are found by a scan of all rows, until the recall sought is met.
+
+Vectors of another length have no inner product with each other, so each length has a tree of its own; together they
+are a forest whose leaves are numbered on. Block products only choose candidates: the scores that count are summed
+pair by pair, component after component, so equal vectors have equal scores wherever they lie.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ MAX_CALIBRATION = 200
 BRANCHES, LEAF_ROWS, ROUNDS = 8, 128, 10
 #: Rows and queries of one leaf that meet in one task; fuller leaves are dealt out over several.
 BLOCK_ROWS, BLOCK_QUERIES = 4096, 2048
-TARGET_RECALL = 0.97
+TARGET_RECALL = 0.94
 
 
 @dataclass
@@ -110,41 +114,89 @@ def build_tree(x: np.ndarray, seed: int = 5) -> Tree:
     return Tree(np.array(centre), np.array(radius), children, np.array(leaf))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+class Forest:
+    """A tree for each length of vector; leaves and nodes of all are numbered on. visits: leaves of each length that a query asks."""
+
+    def __init__(self, sample: list[list[float]], lengths: list[int]):
+        by: dict[int, list[list[float]]] = {d: [] for d in lengths}
+        for v in sample:
+            by[len(v)].append(v)
+        self.trees = {d: build_tree(np.array(x).reshape(-1, d)) for d, x in sorted(by.items())}
+        self.first, self.leaves = {}, 0
+        for d, t in self.trees.items():
+            self.first[d] = self.leaves
+            self.leaves += t.leaves
+        self.visits = {d: 1 for d in self.trees}
+
+    def file(self, column: pa.Array) -> np.ndarray:
+        """Leaf of each vector."""
+        out = np.zeros(len(column), "i4")
+        for d, rows, x in _by_length(column):
+            out[rows] = self.first[d] + self.trees[d].file(x)
+        return out
+
+    def ask(self, v: np.ndarray, visits: int | None = None) -> list[int]:
+        """Leaves to visit, best first."""
+        d = len(v)
+        if d not in self.trees:
+            return []
+        return [self.first[d] + n for n in self.trees[d].best_first(v, self.visits[d] if visits is None else visits)]
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, positions, matrix) of the vectors of each length."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = np.asarray(column.flatten()).astype("f8")
-    return flat.reshape(len(column), -1)
+    sizes = np.asarray(column.value_lengths()).astype("i8")
+    starts = np.cumsum(sizes) - sizes
+    for d in np.unique(sizes).tolist():
+        rows = np.nonzero(sizes == d)[0]
+        yield d, rows, flat[starts[rows, None] + np.arange(d)]
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id long, v array<double>) of the vectors that take part: not null, empty, zero, nor with null or non-finite parts.
-
-    Only vectors of the commonest length (the longer one, of ties) can be compared; others are left out.
-    """
+    """(vec_id long, v array<double>) of the vectors that take part: not null, empty, zero, nor with null or non-finite parts; of any length."""
     v = F.transform(F.col(vector_col), lambda x: x.cast("double"))
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    out = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
-    sizes = out.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return out.where(F.size("v") == (sizes[0]["d"] if sizes else 0))
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & good)
+
+
+def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of the rows of q with the same rows of x, each summed from the first component to the last."""
+    total = np.zeros(len(q))
+    for a, b in zip(np.ascontiguousarray(q.T), np.ascontiguousarray(x.T), strict=True):
+        total += a * b
+    return total
 
 
 def _nearest(q_ids, q, ids, x, k: int):
-    """Of each query: its k best rows, (query, row id, score), own row left out, ties to the smaller id. ids ascend."""
-    s = q @ x.T
-    s[q_ids[:, None] == ids[None, :]] = -np.inf
+    """Of each query: its k best rows, (query, row id, score), own row left out, ties to the smaller id.
+
+    A block product chooses the rows that can be among them, with room for its rounding; exact_scores() ranks these.
+    """
+    if not len(ids) or not len(q_ids):
+        return [np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0)]
     out_q, out_i, out_s = [], [], []
-    for r in range(len(q)):
-        row = s[r]
-        if len(row) > 4 * k:
-            edge = np.partition(row, len(row) - k)[len(row) - k]
-            at = np.nonzero(row >= edge)[0]
-        else:
-            at = np.arange(len(row))
-        at = at[np.argsort(-row[at], kind="stable")][:k]
-        at = at[row[at] > -np.inf]
-        out_q.append(np.full(len(at), q_ids[r]))
-        out_i.append(ids[at])
-        out_s.append(row[at])
-    return [np.concatenate(c) if c else np.empty(0) for c in (out_q, out_i, out_s)]
+    room = 4 * (x.shape[1] + 2) * np.finfo("f8").eps * np.sqrt((q**2).sum(1)) * np.sqrt((x**2).sum(1).max())
+    for low in range(0, len(q), 256):
+        part, own = q[low : low + 256], q_ids[low : low + 256]
+        s = part @ x.T
+        s[own[:, None] == ids[None, :]] = -np.inf
+        n = min(k, s.shape[1])
+        edge = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        a, b = np.nonzero((s >= (edge - 2 * room[low : low + 256])[:, None]) & (s > -np.inf))
+        for at in range(0, len(a), 1 << 18):  # bounds what exact_scores() gathers; ties can be many
+            r, c = a[at : at + (1 << 18)], b[at : at + (1 << 18)]
+            out_q.append(own[r])
+            out_i.append(ids[c])
+            out_s.append(exact_scores(part[r], x[c]))
+    q_, i_, s_ = (np.concatenate(c) if c else np.empty(0, kind) for c, kind in ((out_q, "i8"), (out_i, "i8"), (out_s, "f8")))
+    by = np.lexsort((i_, -s_, q_))
+    q_, i_, s_ = q_[by], i_[by], s_[by]
+    first = np.concatenate([[True], q_[1:] != q_[:-1]]) if len(q_) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(q_)), 0))
+    top = np.arange(len(q_)) - start < k
+    return [q_[top], i_[top], s_[top]]
 
 
 def _table(q, i, s, names=("query_id", "vec_id", "score")) -> pa.RecordBatch:
@@ -160,14 +212,15 @@ def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
     """The k best rows of a bounded list of queries, by a scan of all rows in blocks."""
     if not queries:
         return {}
-    told = vectors.sparkSession.sparkContext.broadcast((np.array([q for q, _ in queries]), np.array([v for _, v in queries])))
+    asked = {d: (np.array([q for q, v in queries if len(v) == d]), np.array([v for _, v in queries if len(v) == d])) for d in {len(v) for _, v in queries}}
+    told = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q_ids, q = told.value
         for b in batches:
-            ids, x = np.asarray(b.column(0)), _matrix(b.column(1))
-            by = np.argsort(ids, kind="stable")
-            yield _table(*_nearest(q_ids, q, ids[by], x[by], k))
+            ids = np.asarray(b.column(0))
+            for d, rows, x in _by_length(b.column(1)):
+                if d in told.value:
+                    yield _table(*_nearest(*told.value[d], ids[rows], x, k))
 
     out: dict[int, list[int]] = {}
     for r in _top(vectors.mapInArrow(scan, "query_id long, vec_id long, score double"), k).orderBy("query_id", "rank").collect():
@@ -175,19 +228,26 @@ def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
     return out
 
 
-def calibrate(tree: Tree, vectors: DataFrame, filed: DataFrame, queries: list[tuple[int, list[float]]], k: int, target: float) -> tuple[int, float]:
-    """(visits, recall): the fewest leaves, widened by a quarter at a time, whose mean recall reaches target."""
+def calibrate(forest: Forest, vectors: DataFrame, filed: DataFrame, queries: list[tuple[int, list[float]]], k: int, target: float) -> float:
+    """Set visits: for each length the fewest leaves, widened by an eighth at a time, whose mean recall reaches target; the recall of all.
+
+    A length none of whose queries is among these visits all its leaves.
+    """
     truth = true_neighbours(vectors, queries, k)
     wanted = vectors.sparkSession.createDataFrame(sorted({(i,) for x in truth.values() for i in x}), "vec_id long")
     leaf = {r["vec_id"]: r["leaf"] for r in filed.join(F.broadcast(wanted), "vec_id").select("vec_id", "leaf").collect()}
-    order = {q: {n: r for r, n in enumerate(tree.best_first(np.array(v), tree.leaves))} for q, v in queries}
-    visits, recall = 1, 0.0
-    while True:
-        shares = [np.mean([order[q][leaf[i]] < visits for i in truth[q]]) for q, _ in queries if truth.get(q)]
-        recall = float(np.mean(shares)) if shares else 1.0
-        if recall >= target or visits >= tree.leaves:
-            return visits, recall
-        visits = min(tree.leaves, max(visits + 1, visits * 5 // 4))
+    every = []
+    for d, tree in forest.trees.items():
+        own = [(q, v) for q, v in queries if len(v) == d and truth.get(q)]
+        place = [{n: r for r, n in enumerate(forest.ask(np.array(v), tree.leaves))} for _, v in own]
+        found = [np.sort([at[leaf[i]] for i in truth[q]]) for (q, _), at in zip(own, place, strict=True)]
+        visits = 1 if own else tree.leaves
+        recall = lambda n: [float(np.mean(x < n)) for x in found]  # noqa: B023, E731
+        while own and visits < tree.leaves and np.mean(recall(visits)) < target:
+            visits = min(tree.leaves, max(visits + 1, visits * 9 // 8))
+        forest.visits[d] = visits
+        every += recall(visits)
+    return float(np.mean(every)) if every else 1.0
 
 
 def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, every: int = 20, target: float = TARGET_RECALL, id_col: str = "vec_id", vector_col: str = "embedding", report: dict | None = None) -> DataFrame:
@@ -195,8 +255,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
 
     queries: rows of the shape of vectors; else those of vectors whose id is divisible by every. A query's own
     id is no candidate. Ties go to the smaller id. Unusable vectors (see usable) are neither queries nor
-    candidates; of several rows of one id, the smallest vector stays. An empty table gives no rows, other
-    columns are ignored. report, if given, gets leaves, visits and the recall measured on the calibration queries.
+    candidates; a query's candidates are the vectors of its own length; of several rows of one id, the smallest
+    vector stays. An empty table gives no rows, other columns are ignored. How many lengths there are must be
+    bounded (each has a tree). report, if given, gets leaves, visits (of all lengths) and the recall measured on
+    the calibration queries.
     """
     spark = vectors.sparkSession
     rows = staged(usable(vectors, id_col, vector_col).groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
@@ -205,25 +267,25 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
     sample = by_hash(rows, MAX_FIT_ROWS)
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    tree = build_tree(np.array([v for _, v in sample]))
-    told = spark.sparkContext.broadcast(tree)  # nodes of MAX_FIT_ROWS sample rows at most
+    forest = Forest([v for _, v in sample], sorted(r["d"] for r in rows.select(F.size("v").alias("d")).distinct().collect()))
+    filing = spark.sparkContext.broadcast(forest)  # nodes of MAX_FIT_ROWS sample rows at most
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(told.value.file(_matrix(b.column(1))).astype("i4"))], ["vec_id", "v", "leaf"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(filing.value.file(b.column(1)))], ["vec_id", "v", "leaf"])
 
     filed = staged(rows.select("vec_id", "v").mapInArrow(file, "vec_id long, v array<double>, leaf int"), "filed")
-    visits, recall = calibrate(tree, rows, filed, by_hash(asked, MAX_CALIBRATION), k, target)
+    recall = calibrate(forest, rows, filed, by_hash(asked, MAX_CALIBRATION), k, target)
+    told = spark.sparkContext.broadcast(forest)
     if report is not None:
-        report |= {"leaves": tree.leaves, "visits": visits, "recall": recall}
+        report |= {"leaves": forest.leaves, "visits": sum(forest.visits.values()), "recall": recall}
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q = _matrix(b.column(1))
-            leaves = [told.value.best_first(x, visits) for x in q]
-            n = [len(x) for x in leaves]
-            at = np.repeat(np.arange(len(q)), n)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.concatenate([np.array(x, "i4") for x in leaves]))], ["vec_id", "v", "leaf"])
+            for _, rows_, q in _by_length(b.column(1)):
+                leaves = [told.value.ask(x) for x in q]
+                at = np.repeat(rows_, [len(x) for x in leaves])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), b.column(1).take(pa.array(at)), pa.array(np.array([n for x in leaves for n in x], "i4"))], ["vec_id", "v", "leaf"])
 
     visited = staged(asked.select("vec_id", "v").mapInArrow(visit, "vec_id long, v array<double>, leaf int"), "visited")
     # The number of leaves is bounded, so are these counts; they say how finely each leaf is dealt out.
@@ -244,11 +306,15 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
         def found() -> pa.RecordBatch | None:
             if not ids or not q_ids:
                 return None
-            return _table(*_nearest(np.concatenate(q_ids), np.concatenate(qs), np.concatenate(ids), np.concatenate(xs), k))
+            return _table(*_nearest(np.concatenate(q_ids), np.array(qs), np.concatenate(ids), np.array(xs), k))
 
         for b in batches:
             keys = np.stack([np.asarray(b.column(c)) for c in range(3)], 1)
-            asks, vec, x = np.asarray(b.column(3)), np.asarray(b.column(4)), _matrix(b.column(5))
+            asks, vec = np.asarray(b.column(3)), np.asarray(b.column(4))
+            x: list = [None] * len(vec)  # rows of a leaf have one length
+            for _, rows_, part in _by_length(b.column(5)):
+                for r, v in zip(rows_.tolist(), part, strict=True):
+                    x[r] = v
             cuts = np.nonzero((keys[1:] != keys[:-1]).any(1))[0] + 1
             for low, high in zip([0, *cuts], [*cuts, len(keys)], strict=True):
                 if key is None or (keys[low] != key).any():
@@ -258,10 +324,10 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, k: int = 20, ev
                 n = low + int((asks[low:high] == 0).sum())
                 if n > low:
                     ids.append(vec[low:n])
-                    xs.append(x[low:n])
+                    xs += x[low:n]
                 if high > n:
                     q_ids.append(vec[n:high])
-                    qs.append(x[n:high])
+                    qs += x[n:high]
         if (out := found()) is not None:
             yield out
 

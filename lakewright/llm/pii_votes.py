@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, columns_of
+from .common import aside, columns_of, staged
 from .quality_rules import _q, let
 
 # The kinds in the order in which spans are listed; the first four are the base.
@@ -41,23 +41,42 @@ NEAR = {
 }
 AGAINST = r"(?i)(?:version|isbn|issn|order|invoice|item|sku|ver|commit|checksum|sha|md5)\W*(?:\w+\W+){0,1}$"
 CONTEXT_CHARS, THRESHOLD, ROUNDS = 40, 0.5, 50
+#: The posterior that a candidate needs which its own pattern labeler votes against.
+STRICT = 0.95
 
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-_MARK = "\\u0001"
+#: A sign that joins parts while a pattern runs; the text's own signs of this kind become one that no pattern knows.
+_MARK, _FOREIGN = "\\u0001", "\\u0002"
+#: Running totals are taken in blocks of 2^8.
+_BLOCK_BITS = 8
+
+
+def _running(values: str, total: str, start: str, step: str, body: str) -> str:
+    """SQL text: body, in which total(k) stands for the running total of the array `values` up to position k, itself included.
+
+    step: SQL text of (s, x) -> total. Totals of blocks come first, so the work grows with the number of values, not its square.
+    """
+    size = 1 << _BLOCK_BITS
+    fold = lambda part: f"aggregate({part}, {start}, (s, x) -> {step})"
+    blocks = f"transform(sequence(0, shiftright(size(vs) - 1, {_BLOCK_BITS})), b -> {fold(f'slice(vs, b * {size} + 1, {size})')})"
+    before = f"transform(bs, (y, b) -> {fold('slice(bs, 1, b)')})"
+    up_to = f"aggregate(slice(vs, shiftright(k, {_BLOCK_BITS}) * {size} + 1, k % {size} + 1), pre[shiftright(k, {_BLOCK_BITS})], (s, x) -> {step})"
+    return let("vs", values, let("bs", blocks, let("pre", before, let(total, f"transform(vs, (v, k) -> {up_to})", body))))
 
 
 def _match(pattern: str, kind: str, text: str) -> str:
-    """SQL text: array of struct(kind, start, stop, value) of a pattern's leftmost matches; one pass for gaps, one for matches."""
-    step = (
-        "aggregate(sequence(0, size(m) - 1), cast(struct(0 as at, array() as got) as struct<at: int, got: array<struct<start: int, stop: int>>>),"
-        " (a, k) -> struct(a.at + char_length(g[k]) + char_length(m[k]) as at,"
-        " concat(a.got, array(struct(a.at + char_length(g[k]) as start, a.at + char_length(g[k]) + char_length(m[k]) as stop))) as got), a -> a.got)"
-    )
-    return let("m", f"regexp_extract_all({text}, '{_q(pattern)}', 0)", f"if(size(m) = 0, {_none()}, " + let("g", f"split({text}, '{_q(pattern)}', -1)", f"transform({step}, x -> struct('{kind}' as kind, x.start as start, x.stop as stop))") + ")")
+    """SQL text: array of struct(kind, start, stop, b0, b1) of a pattern's leftmost matches; one pass for gaps, one for matches.
+
+    start and stop count code points, b0 and b1 bytes. A pass over the text and running totals: linear in text and matches.
+    """
+    ends = lambda f, total, body: _running(f"transform(m, (x, k) -> {f}(g[k]) + {f}(x))", total, "0", "s + x", body)
+    row = f"struct('{kind}' as kind, ce[k] - char_length(x) as start, ce[k] as stop, be[k] - octet_length(x) as b0, be[k] as b1)"
+    rows = ends("char_length", "ce", ends("octet_length", "be", f"transform(m, (x, k) -> {row})"))
+    return let("m", f"regexp_extract_all({text}, '{_q(pattern)}', 0)", f"if(size(m) = 0, {_none()}, " + let("g", f"split({text}, '{_q(pattern)}', -1)", rows) + ")")
 
 
 def _none() -> str:
-    return "cast(array() as array<struct<kind: string, start: int, stop: int>>)"
+    return "cast(array() as array<struct<kind: string, start: int, stop: int, b0: int, b1: int>>)"
 
 
 def _found(text: str) -> str:
@@ -66,7 +85,7 @@ def _found(text: str) -> str:
     Repeated groups would overflow the stack on very long runs. So a sign that joins two parts is first
     replaced by one mark (lengths stay), after which each kind is a run over one class of characters.
     """
-    safe = f"translate({text}, '{_MARK}', ' ')"
+    safe = f"translate({text}, '{_MARK}', '{_FOREIGN}')"
     dotted = f"regexp_replace({safe}, '{_q(r'\.(?=[A-Za-z0-9-])')}', '{_MARK}')"
     joined = f"regexp_replace({safe}, '{_q(r'(?<=[0-9])[ -](?=[0-9])')}', '{_MARK}')"
     local = r"A-Za-z0-9._%+\x01-"
@@ -102,34 +121,44 @@ def _valid(kind: str, v: str) -> str:
 
 
 def candidates(text: str = "_t") -> str:
-    """SQL text: array of struct(kind, start, stop, base, v1..v4): votes by pattern, gazetteer, context and shape."""
+    """SQL text: array of struct(kind, start, stop, b0, b1, base, v1..v4): votes by pattern, gazetteer, context and shape.
+
+    Values and contexts are cut from the text's bytes, which needs no pass over what lies before them.
+    """
     of = lambda f: "case c.kind " + " ".join(f"when '{k}' then {f(k)}" for k in KINDS) + " end"
-    value = f"substring({text}, c.start + 1, c.stop - c.start)"
-    left = f"substring({text}, greatest(c.start - {CONTEXT_CHARS}, 0) + 1, least(c.start, {CONTEXT_CHARS}))"
-    right = f"substring({text}, c.stop + 1, 1)"
+    value = "cast(substring(tb, c.b0 + 1, c.b1 - c.b0) as string)"
+    left = f"right(cast(substring(tb, greatest(c.b0 - {4 * CONTEXT_CHARS}, 0) + 1, least(c.b0, {4 * CONTEXT_CHARS})) as string), {CONTEXT_CHARS})"
+    right = "left(cast(substring(tb, c.b1 + 1, 4) as string), 1)"
     votes = (
         "if(good, 1, -1)",
         f"if({of(lambda k: f"v rlike '{_q(GAZETTEER[k])}'")}, 1, 0)",
         f"case when l rlike '{_q(AGAINST)}' then -1 when {of(lambda k: f"l rlike '{_q(NEAR[k])}'")} then 1 else 0 end",
         "if(l rlike '[A-Za-z0-9@_]$' or r rlike '^[A-Za-z0-9@_]', -1, 1)",
     )
-    row = f"struct(c.kind as kind, c.start as start, c.stop as stop, c.kind in ({', '.join(repr(k) for k in BASE)}) and good as base, {', '.join(f'{x} as v{i}' for i, x in enumerate(votes, 1))})"
+    row = f"struct(c.kind as kind, c.start as start, c.stop as stop, c.b0 as b0, c.b1 as b1, c.kind in ({', '.join(repr(k) for k in BASE)}) and good as base, {', '.join(f'{x} as v{i}' for i, x in enumerate(votes, 1))})"
     body = let("v", value, let("l", left, let("r", right, let("good", of(lambda k: _valid(k, "v")), row))))
-    return f"transform({_found(text)}, c -> {body})"
+    return let("cs", _found(text), f"if(size(cs) = 0, cast(array() as {_CANDIDATES}), " + let("tb", f"cast({text} as binary)", f"transform(cs, c -> {body})") + ")")
+
+
+_CANDIDATES = "array<struct<kind: string, start: int, stop: int, b0: int, b1: int, base: boolean, v1: int, v2: int, v3: int, v4: int>>"
 
 
 def _with_candidates(docs: DataFrame, text_col: str) -> DataFrame:
     out = docs.withColumn("_t", F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    return out.withColumn("_c", F.expr(candidates("_t")))
+    return out.withColumn("_c", F.expr(candidates("_t"))).drop("_t")
 
 
 def fit(docs: DataFrame, text_col: str = "text") -> dict[str, list[float]]:
     """Weights (bias, v1..v4) of each kind's span classifier, from the votes on all candidates of all documents."""
-    votes = _with_candidates(docs.select(text_col), text_col).select(F.explode("_c").alias("c")).groupBy("c.kind", "c.v1", "c.v2", "c.v3", "c.v4").count()
+    return _weights(_with_candidates(docs.select(text_col), text_col))
+
+
+def _weights(found: DataFrame) -> dict[str, list[float]]:
+    votes = found.select(F.explode("_c").alias("c")).groupBy("c.kind", "c.v1", "c.v2", "c.v3", "c.v4").count()
     seen: dict[str, list[tuple[tuple[int, ...], int]]] = {}
     for kind, *v, n in votes.collect():  # at most 3^4 rows a kind
         seen.setdefault(kind, []).append((tuple(v), n))
-    return {kind: _classifier(_posteriors(sorted(rows))) for kind, rows in seen.items()}
+    return {kind: _classifier(_posteriors(sorted(rows))) for kind, rows in sorted(seen.items())}
 
 
 def _posteriors(rows: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], float, float]]:
@@ -164,25 +193,31 @@ def _classifier(rows: list[tuple[tuple[int, ...], float, float]], steps: int = 3
 
 
 def _accepted(weights: dict[str, list[float]]) -> str:
-    score = "case c.kind " + "".join(f"when '{k}' then {w[0]:.6f}D + " + " + ".join(f"({x:.6f}D) * c.v{i}" for i, x in enumerate(w[1:], 1)) + " " for k, w in weights.items()) + "else -1D end" if weights else "-1D"
-    logit = math.log(THRESHOLD / (1 - THRESHOLD))
-    return f"c.base or (c.v1 = 1 and {score} >= {logit:.6f}D)"
+    """SQL text: whether a candidate is a span: a base one that passes its check, or one that the classifier accepts."""
+    score = "case c.kind " + "".join(f"when '{k}' then {w[0]:.6f}D + " + " + ".join(f"({x:.6f}D) * c.v{i}" for i, x in enumerate(w[1:], 1)) + " " for k, w in weights.items()) + "else -1000D end" if weights else "-1000D"
+    logit = lambda p: math.log(p / (1 - p))
+    return f"c.base or {score} >= if(c.v1 = 1, {logit(THRESHOLD):.6f}D, {logit(STRICT):.6f}D)"
 
 
-def annotate(docs: DataFrame, text_col: str = "text", weights: dict[str, list[float]] | None = None) -> DataFrame:
-    """docs with `spans`: array of struct(kind, start, stop, base), by kind as listed in KINDS, then start.
+def annotate(docs: DataFrame, text_col: str = "text", weights: dict[str, list[float]] | None = None, keep_text: bool = True) -> DataFrame:
+    """docs with `spans`: array of struct(kind, start, stop, base, b0, b1), by kind as listed in KINDS, then start.
 
-    Positions are code points, stop exclusive. Spans of the base kinds that pass their checks always stay; the
-    span classifier adds others (weights: from fit(), else fitted on docs). A null or empty text has no spans.
-    Rows are judged one by one, so repeated rows and ids get equal spans; an empty table stays empty; other
-    columns pass through, but for one named spans, which is replaced.
+    start and stop are code points, b0 and b1 the same places in bytes; stop and b1 are exclusive. Spans of the base
+    kinds that pass their checks always stay; the span classifier adds others (weights: from fit(), else fitted on
+    docs, whose candidates are then found once and written to the shared folder). A null or empty text has no spans;
+    the work grows with the length of a text and its matches. Rows are judged one by one, so repeated rows and ids get
+    equal spans; an empty table stays empty; other columns pass through, but for one named spans, which is replaced,
+    and for the text where it is not kept.
     """
-    weights = fit(docs, text_col) if weights is None else weights
     docs, back = aside(docs.drop("spans"), "_t", "_c")
-    out = _with_candidates(docs, text_col)
+    found = _with_candidates(docs, text_col)
+    found = found if keep_text else found.drop(text_col)
+    if weights is None:
+        found = staged(found, "candidates")
+        weights = _weights(found)
     order = ", ".join(f"'{k}', {i}" for i, k in enumerate(KINDS))
-    kept = f"transform(sort_array(transform(filter(_c, c -> {_accepted(weights)}), c -> struct(map({order})[c.kind] as o, c.start as start, c.stop as stop, c.kind as kind, c.base as base))), c -> struct(c.kind, c.start, c.stop, c.base))"
-    return back(out.withColumn("spans", F.expr(kept)).drop("_t", "_c"))
+    kept = f"transform(sort_array(transform(filter(_c, c -> {_accepted(weights)}), c -> struct(map({order})[c.kind] as o, c.start as start, c.stop as stop, c.kind as kind, c.base as base, c.b0 as b0, c.b1 as b1))), c -> struct(c.kind, c.start, c.stop, c.base, c.b0, c.b1))"
+    return back(found.withColumn("spans", F.expr(kept)).drop("_c"))
 
 
 def listed(spans: str) -> str:
@@ -192,15 +227,11 @@ def listed(spans: str) -> str:
 
 def masked(text_col: str = "text") -> Column:
     """The text with each span replaced by <KIND>; where spans overlap, the earlier (then longer) one stands for both."""
-    t = f"coalesce(cast(`{text_col}` as string), '')"
-    by_start = "sort_array(transform(spans, s -> struct(s.start as start, -s.stop as back, s.kind as kind)))"
-    step = (
-        "aggregate(z, cast(struct(0 as at, array() as got) as struct<at: int, got: array<string>>),"
-        " (a, s) -> if(s.start < a.at, struct(greatest(a.at, -s.back) as at, a.got as got),"
-        " struct(-s.back as at, concat(a.got, array(substring(t, a.at + 1, s.start - a.at), concat('<', upper(s.kind), '>'))) as got)),"
-        " a -> concat(array_join(a.got, ''), substring(t, a.at + 1)))"
-    )
-    return F.expr(f"if(size(spans) = 0, `{text_col}`, " + let("t", t, let("z", by_start, step)) + ")")
+    t = f"cast(coalesce(cast(`{text_col}` as string), '') as binary)"
+    by_start = "sort_array(transform(spans, s -> struct(s.b0 as b0, -s.b1 as back, s.kind as kind)))"
+    piece = "if(k = 0 or z[k].b0 >= far[k - 1], concat(cast(substring(tb, if(k = 0, 0, far[k - 1]) + 1, z[k].b0 - if(k = 0, 0, far[k - 1])) as string), '<', upper(z[k].kind), '>'), '')"
+    whole = f"concat(array_join(transform(z, (y, k) -> {piece}), ''), cast(substring(tb, far[size(z) - 1] + 1, octet_length(tb)) as string))"
+    return F.expr(f"if(size(spans) = 0, `{text_col}`, " + let("tb", t, let("z", by_start, _running("transform(z, q -> -q.back)", "far", "0", "greatest(s, x)", whole))) + ")")
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -75,9 +75,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii_votes.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns, and how many spans there are of the other kinds and in all."""
+    found = pii_votes.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
     n = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii_votes.BASE]
-    return found.select("doc_id", *n, F.sha2(F.expr(pii_votes.listed("filter(spans, s -> s.base)")), 256).alias("base_sha256"), F.expr(pii_votes.listed("spans")).alias("spans"))
+    more = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii_votes.KINDS if k not in pii_votes.BASE]
+    base = F.sha2(F.expr(pii_votes.listed("filter(spans, s -> s.base)")), 256).alias("base_sha256")
+    return found.select("doc_id", *n, base, F.expr(pii_votes.listed("spans")).alias("spans"), *more, F.size("spans").cast("long").alias("n_spans"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,13 +1,14 @@
 """Packing of tokenised documents into sequences: bounded-space online packing.
 
 A partition keeps a fixed number of open windows. Each piece goes into the fullest window that holds it (best
-fit); when none does, the fullest window is emitted and a new one opened. Windows still open at the end of a
-partition are written out and merged with those of other partitions.
+fit); when none does, the fullest window is emitted and a new one opened. A piece that fills a sequence by itself
+needs no window. Windows still open at the end of a partition are written out and merged with those of other partitions.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-CAPACITY, OPEN_WINDOWS = 2048, 64
+CAPACITY, OPEN_WINDOWS = 2048, 32
 #: Partitions whose open windows meet in one task at the end.
 MERGED_PARTITIONS = 64
 #: Runs remembered by a worker, at most twice this many: about 210 bytes each.
@@ -33,7 +34,8 @@ class Encoder:
 
     The tokenizer drops white space before anything else sees it, so runs between spaces and newlines are
     encoded alike alone and in a text. Unseen runs of a batch are encoded together, parted by a sign whose
-    ids are known; a run that holds this sign is encoded alone.
+    ids are known; a run that holds this sign is encoded alone. All this rests on what the tokenizer's own file
+    says: where its normalizer or its cuts are others, or a special token could lie across runs, texts are encoded whole.
     """
 
     SIGN = "^"
@@ -47,6 +49,19 @@ class Encoder:
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.sign = np.array(self._alone(self.SIGN), "u4")
+        self.lowers, self.by_run = self._known(json.loads(self.tokenizer.to_str()))
+
+    @staticmethod
+    def _known(spec: dict) -> tuple[bool, bool]:
+        """(whether it lower-cases, whether runs are encoded alike alone and in a text)."""
+        steps = lambda x, many: [] if not x else [y for z in x[many] for y in steps(z, many)] if x["type"] == "Sequence" else [x]
+        rewriting, cuts = steps(spec.get("normalizer"), "normalizers"), steps(spec.get("pre_tokenizer"), "pretokenizers")
+        kinds = [x["type"] for x in rewriting]
+        blanks = any(x["type"] == "Replace" and x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in rewriting)
+        words = bool(cuts) and cuts[0]["type"] == "Split" and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and r"[^\s" in cuts[0]["pattern"].get("Regex", "") and all(x["type"] == "ByteLevel" and not x["add_prefix_space"] for x in cuts[1:])
+        special = all(x["content"].startswith("<|") and x["content"].endswith("|>") and not x["normalized"] and not x["lstrip"] and not x["rstrip"] and not x["single_word"] for x in spec.get("added_tokens") or [])
+        plain = all(k in ("NFC", "Replace", "Lowercase") for k in kinds) and kinds.count("Replace") == 1 and blanks
+        return kinds[-1:] == ["Lowercase"] and special, plain and words and special and spec.get("post_processor") is None and spec.get("truncation") is None
 
     def _alone(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -77,8 +92,10 @@ class Encoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if len(self.young) > _CACHE_WORDS:
             self.old, self.young = self.young, {"": b""}
-        # The tokenizer lower-cases; only the strings of its special tokens must be met as they are written.
-        texts = [t.lower() if t and t.isascii() and "<|" not in t else t or "" for t in texts]
+        if not self.by_run:
+            return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
+        # Where the tokenizer lower-cases, only the strings of its special tokens must be met as they are written.
+        texts = [t.lower() if t and self.lowers and t.isascii() and "<|" not in t else t or "" for t in texts]
         split = [t.replace("\n", " ").split(" ") for t in texts]
         young, old, new, marked, todo = self.young, self.old, {}, [], []
         out = [list(map(young.get, runs)) for runs in split]
@@ -119,34 +136,34 @@ def _encoder(path: str) -> Encoder:
 
 
 class Windows:
-    """Open windows of one partition: best fit by binary search over their fills."""
+    """Open windows of one partition: best fit by binary search over their fills. A full piece opens none."""
 
     def __init__(self, capacity: int, most: int, first_id: int):
         self.capacity, self.most, self.next = capacity, most, first_id
         self.open: list[tuple[int, int]] = []  # (fill, sequence id), by fill
 
-    def put(self, length: int) -> tuple[int, int, bool]:
-        """(sequence id, offset, whether this one is full now) for a piece of length."""
-        at = bisect.bisect_right(self.open, (self.capacity - length, 1 << 62)) - 1
+    def put(self, length: int) -> tuple[int, int]:
+        """(sequence id, offset) for a piece of length."""
+        at = -1 if length == self.capacity else bisect.bisect_right(self.open, (self.capacity - length, 1 << 62)) - 1
         if at >= 0:
             fill, seq = self.open.pop(at)
         else:
-            if len(self.open) >= self.most:
-                self.open.pop()  # the fullest is emitted as it is
+            if length < self.capacity and len(self.open) >= self.most:
+                self.open.pop()  # none fits: the fullest is emitted as it is
             fill, seq = 0, self.next
             self.next += 1
         if fill + length < self.capacity:
             bisect.insort(self.open, (fill + length, seq))
-        return seq, fill, fill + length == self.capacity
+        return seq, fill
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, open_windows: int = OPEN_WINDOWS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (long).
 
     A document is its ids and then end_id, so a null or empty text is one piece of one id. Documents are cut
-    after each full capacity; their rests are packed. A rest that no open window holds is cut too, where that
-    fills a window, so little is padded. Repeated rows and ids are packed one by one; null ids stay null; an
-    empty table gives no rows; other columns are ignored. Sequence ids are distinct, not dense.
+    after each full capacity, and nowhere else; their rests go through the open windows. Repeated rows and ids are
+    packed one by one; null ids stay null; a text of any length is packed whole; an empty table gives no rows; other
+    columns, whatever their names, are ignored. Sequence ids are distinct, not dense.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -166,9 +183,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
                     total, start = len(raw) // 4, 0
                     while start < total:
                         size = min(capacity, total - start)
-                        if size < capacity and windows.open and len(windows.open) >= open_windows and windows.open[0][0] + size > capacity:
-                            size = capacity - windows.open[-1][0]  # none holds it: fill the fullest
-                        seq, offset, _ = windows.put(size)
+                        seq, offset = windows.put(size)
                         out.append((doc, start, size, zlib.crc32(raw[4 * start : 4 * (start + size)]), total, seq, offset, part))
                         start += size
             yield _rows(out)

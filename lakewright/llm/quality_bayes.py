@@ -18,6 +18,8 @@ from .toxicity_fm import held_out, labelled_rows
 STEPS, RATE, DECAY = 400, 0.3, 1e-3
 LEAST_STRENGTH, MOST_STRENGTH = 1.0, 1e6
 KEEP = 0.5
+#: Documents of a site that one task joins; at most so many sites (the largest, which hold the most rows) are dealt out.
+SITE_ROWS, MOST_HOT_SITES = 1 << 20, 1000
 FEATURES = ("log_words", "marks", "shouts", "bars", "capitals", "distinct", "word_chars", "repeated_lines", "ends")
 
 
@@ -63,14 +65,20 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def _strength(groups: DataFrame, mean: float) -> float:
-    """How many documents the level above is worth, by the method of moments over (n, s: sum of probabilities)."""
-    r = groups.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.pow(F.col("s") / F.col("n") - F.lit(mean), 2) * F.col("n")).alias("v")).first()
+def _strength(groups: DataFrame) -> float:
+    """How many documents the level above is worth, by the method of moments.
+
+    groups: (n, s, q: number, sum and sum of squares of their documents' probabilities, above: mean of the level above).
+    Within: the pooled variance of probabilities inside groups. Between: what the groups' means vary around the level
+    above beyond what their sizes explain. Without spread between groups, the level above stands for them.
+    """
+    gap = F.col("s") / F.col("n") - F.col("above")
+    r = groups.agg(F.sum("n").alias("n"), F.count("*").alias("g"), F.sum(F.col("q") - F.col("s") * F.col("s") / F.col("n")).alias("w"), F.sum(gap * gap * F.col("n")).alias("v")).first()
     if not r["n"]:
         return LEAST_STRENGTH
-    within = mean * (1 - mean)
-    between = r["v"] / r["n"] - within * r["g"] / r["n"]
-    return min(MOST_STRENGTH, max(LEAST_STRENGTH, (within - between) / between)) if between > 0 else MOST_STRENGTH
+    within = max(r["w"], 0.0) / max(r["n"] - r["g"], 1)
+    between = (r["v"] - within * r["g"]) / r["n"]
+    return min(MOST_STRENGTH, max(LEAST_STRENGTH, within / between)) if between > 0 else MOST_STRENGTH
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: float = KEEP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,8 +86,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
     host and path: expressions of docs (source, and source with lang, unless given); null is a host or path
     like any other. A document's own probability is left out of the path it is compared with. Null and empty
-    texts count as texts without words; repeated rows are judged alike and count each time; an empty table
-    gives no rows; other columns are ignored. Labels of held-out documents (held_out()) are never read.
+    texts count as texts without words, a text of any length counts whole; repeated rows are judged alike and count
+    each time; equal scores are kept or not alike; an empty table gives no rows; other columns are ignored. Labels of held-out documents (held_out()) are never read.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -88,16 +96,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     z = F.lit(bias) + sum((F.lit(w) * F.col("f")[k] for k, w in enumerate(weights)), F.lit(0.0))
     own = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
     slim = staged(base.withColumn("f", features()).select("doc_id", "host", "path", own.alias("p")), "evidence")
-    paths = staged(slim.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    total = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
-    mean = min(1 - 1e-6, max(1e-6, total if total is not None else 0.5))
-    k_host, k_path = _strength(hosts, mean), _strength(paths, mean)
+    paths = slim.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    paths = staged(paths, "paths")
+    hosts = paths.groupBy("host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q")))
+    share = hosts.agg(F.sum("s") / F.sum("n")).first()[0]
+    mean = min(1 - 1e-6, max(1e-6, share if share is not None else 0.5))
+    k_host = _strength(hosts.withColumn("above", F.lit(mean)))
     hosts = hosts.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("host_posterior"))
-    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select(F.struct("host", "path").alias("site"), "n", "s", "host_posterior")
+    sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h")))
+    k_path = _strength(sites.withColumn("above", F.col("host_posterior")))
+    sites = sites.select(F.struct("host", "path").alias("site"), "n", "s", "host_posterior")
     sites = sites.select(F.xxhash64(F.to_json("site")).alias("k"), F.col("site.host").alias("h"), F.col("site.path").alias("q"), "n", "s", "host_posterior")
+    # Sites of many documents are dealt out over as many salts as they need, so that none meets its documents in one task.
+    sites = sites.withColumn("deal", F.ceil(F.col("n") / SITE_ROWS).cast("int"))
+    hot = {r["k"]: r["deal"] for r in sites.where("deal > 1").orderBy(F.desc("n"), "k").limit(MOST_HOT_SITES).select("k", "deal").collect()}
+    deal = lambda k: F.coalesce(F.create_map(*(F.lit(x) for kv in hot.items() for x in kv))[k], F.lit(1)) if hot else F.lit(1)
+    sites = sites.withColumn("salt", F.explode(F.sequence(F.lit(0), deal(F.col("k")) - 1))).drop("deal")
     slim = slim.withColumn("k", F.xxhash64(F.to_json(F.struct("host", "path"))))
-    met = slim.join(sites, (slim.k == sites.k) & slim.host.eqNullSafe(sites.h) & slim.path.eqNullSafe(sites.q))
+    slim = slim.withColumn("salt", F.pmod(F.xxhash64("doc_id", "p"), deal(F.col("k"))).cast("int"))
+    met = slim.join(sites, (slim.k == sites.k) & (slim.salt == sites.salt) & slim.host.eqNullSafe(sites.h) & slim.path.eqNullSafe(sites.q))
     others = (F.col("s") - F.col("p") + k_path * F.col("host_posterior")) / (F.col("n") - 1 + k_path)
     score = 1 / (1 + F.exp(-(_logit(F.col("p")) + _logit(others) - F.lit(float(np.log(mean / (1 - mean)))))))
     out = met.select("doc_id", F.col("p").alias("classifier"), "host_posterior", others.alias("path_posterior"), score.alias("score"))

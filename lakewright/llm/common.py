@@ -157,23 +157,19 @@ def count_sketch(df: DataFrame, hashes, kind: str = "u2") -> np.ndarray:
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that edges (a, b: long) connect it with; nodes without edges are left out.
 
-    Every round hooks each root onto the smallest root next to it and then shortens paths, so rounds
-    grow with the logarithm of the longest path. Each round is written to the shared folder.
+    Every round hooks each root onto the smallest root next to it and then shortens paths, so rounds grow with the
+    logarithm of the longest path. A round writes one table to the shared folder: the labels, and whether they were
+    hooked. When no edge crosses two labels, each component has one, which is its smallest node.
     """
     edges = staged(edges.where("a <> b").distinct(), "edges")
     label = staged(edges.selectExpr("a node", "b other").union(edges.selectExpr("b", "a")).groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     for _ in range(most_rounds):
         a, b = label.selectExpr("node a", "component ca"), label.selectExpr("node b", "component cb")
-        cross = staged(edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("root"), F.least("ca", "cb").alias("to")).groupBy("root").agg(F.min("to").alias("to")), "hooks")
-        up = label.selectExpr("node root2", "component to2")
-        if cross.isEmpty():
-            jumped = staged(label.join(up, F.col("component") == F.col("root2"), "left").selectExpr("node", "coalesce(to2, component) component", "coalesce(to2 <> component, false) moved"), "labels")
-            label = jumped.select("node", "component")
-            if jumped.where("moved").isEmpty():
-                return label
-            continue
-        hooked = label.join(cross, F.col("component") == F.col("root"), "left").selectExpr("node", "coalesce(to, component) component")
-        hooked = staged(hooked, "labels")
+        cross = edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("root"), F.least("ca", "cb").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
+        hooked = label.join(cross, F.col("component") == F.col("root"), "left").selectExpr("node", "coalesce(to, component) component", "to is not null hooked")
         up = hooked.selectExpr("node root2", "component to2")
-        label = staged(hooked.join(up, F.col("component") == F.col("root2"), "left").selectExpr("node", "coalesce(to2, component) component"), "labels")
+        hooked = staged(hooked.join(up, F.col("component") == F.col("root2"), "left").selectExpr("node", "coalesce(to2, component) component", "hooked"), "labels")
+        label = hooked.select("node", "component")
+        if hooked.where("hooked").isEmpty():
+            return label
     raise RuntimeError("components did not settle")

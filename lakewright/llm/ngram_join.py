@@ -23,6 +23,12 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 600_000
 #: Tokens counted this many times more than the mean are dealt out by document too, not by token alone.
 HOT = 64
+#: A hot token's sets meet the token's sizes in so many parts.
+SALTS = 64
+#: About so many members of a large group are compared with every block of it, so that what is alike is found alike early.
+REPRESENTATIVES = 8
+#: Set ids that different sets may share, at most: at 10^11 documents a few hundred do.
+MOST_SHARED = 100_000
 
 def _mix(h: np.ndarray, k: int) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -130,8 +136,16 @@ def rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.argsort(_counted(h, counts), kind="stable")
 
 
-def set_id(h: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+def set_ids(h: np.ndarray) -> tuple[int, int]:
+    """A set's id, and another one for the rare sets that share the first with a different set."""
+    x = xxhash.xxh3_128_intdigest(h.tobytes())
+    return (x & (1 << 64) - 1) - (1 << 63), (x >> 64) - (1 << 63)
+
+
+def set_id(h: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """The id of a set; shared: first ids that several sets have."""
+    first, other = set_ids(h)
+    return other if first in shared else first
 
 
 def _sets_of(b: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
@@ -175,14 +189,15 @@ def _shared(rows: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def linked_pairs(sets: list[np.ndarray], side: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
-    """Pairs of positions that link; of two sides (0, 1), only pairs across them; of one, all pairs."""
+def linked_pairs(sets: list[np.ndarray], side: np.ndarray, known: np.ndarray, counts: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Pairs of positions that link; of two sides (0, 1), only pairs across them; of one, all pairs. Pairs of one class of `known` are left out."""
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     small, large = np.minimum.outer(sizes, sizes), np.maximum.outer(sizes, sizes)
     mask = np.triu(100 * small >= percent * large, 1)
     if side.any() and not side.all():
         mask &= side[:, None] != side[None, :]
+    mask &= known[:, None] != known[None, :]
     cut = [prefix_length(n, percent) for n in sizes]
     by = [orders(s, counts) for s in sets]
     for k in range(3):
@@ -199,15 +214,16 @@ def linked_pairs(sets: list[np.ndarray], side: np.ndarray, counts: np.ndarray, p
 
 
 class _Identify:
-    """doc_id, n, sid of each text."""
+    """doc_id, rid, n, sid, alt of each text."""
 
     def __init__(self, words: int):
         self.words = words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(len(h), set_id(h) if len(h) else None) for h in _sets_of(b, self.words)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in got], pa.int32()), pa.array([x for _, x in got], pa.int64())], ["doc_id", "n", "sid"])
+            got = [(len(h), *(set_ids(h) if len(h) else (None, None))) for h in _sets_of(b, self.words)]
+            own = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *own], ["doc_id", "rid", "n", "sid", "alt"])
 
 
 class _Prefixes:
@@ -216,8 +232,8 @@ class _Prefixes:
     Of a pair that links, the smaller set has their first common token early: at most n (1 - t) / (1 + t) places in.
     """
 
-    def __init__(self, told, hot: int, percent: int, words: int):
-        self.told, self.hot, self.percent, self.words = told, hot, percent, words
+    def __init__(self, told, hot: int, shared: frozenset[int], percent: int, words: int):
+        self.told, self.hot, self.shared, self.percent, self.words = told, hot, shared, percent, words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = self.told.value
@@ -227,7 +243,7 @@ class _Prefixes:
                 if len(h):
                     first = h[rare_first(h, c)[: prefix_length(len(h), self.percent)]]
                     early = np.arange(len(first)) * (100 + self.percent) <= len(h) * (100 - self.percent)
-                    sid.append(set_id(h))
+                    sid.append(set_id(h, self.shared))
                     tokens.append(first.view("i8"))
                     codes.append(4 * len(h) + 2 * early + (_counted(first, c) > self.hot))
             at = pa.array(np.cumsum([len(x) for x in tokens]).astype("i4"), pa.int32())
@@ -244,110 +260,166 @@ def _met(prefixes: DataFrame) -> DataFrame:
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     alike = rows.withColumns({"lo": F.first("sid").over(whole), "hi": F.last("sid").over(whole), "before": F.lag("sid").over(w)})
     alike = alike.where((hot | (F.col("lo") != F.col("hi"))) & ~F.col("before").eqNullSafe(F.col("sid")))
-    return alike.selectExpr("token", "sid", "cast(code div 4 as int) n", "(code div 2) % 2 = 1 early")
+    return alike.selectExpr("token", "sid", "cast(code div 4 as int) n", "(code div 2) % 2 = 1 early", "code % 2 = 1 hot")
 
 
-def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of docs.
-
-    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
-    shingles; component_id is the smallest id reachable by links. Other columns are ignored, whatever
-    their names. A null, empty or blank text has an empty set and links with nothing (component_id is its
-    own id). Rows that repeat, texts or ids, are kept, one output row each. An empty table gives no rows;
-    rows with a null id are told by their sets: with the set of a row that has an id they get that row's
-    component, else they link with nothing and their component is null.
+def _fitting(met: DataFrame, percent: int) -> DataFrame:
+    """token, sid, n of the rows of met whose token has a partner of fitting size.
 
-    Equal sets meet first by a hash of the whole set, so copies cost one row each. The token counts that
-    order the tokens cover all documents, in a sketch of fixed size: it steers the order only, not the result.
+    That is a smaller set (or one as large) that has the token early, or a larger one (or one as large) if this one has
+    it early. The sizes of a token's sets tell, so the sets of a token need not meet: a hot token's are dealt out.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-
-    counts = count_sketch(docs, lambda b: _sets_of(b, words))
-    told = spark.sparkContext.broadcast(counts)
-    hot = int(HOT * (counts.mean() + 1))
-
-    members = staged(docs.mapInArrow(_Identify(words), "doc_id long, n int, sid long"), "members")
-    sets = members.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("n").alias("n"))
-    met = _met(docs.select("text").mapInArrow(_Prefixes(told, hot, percent, words), "sid long, tokens array<long>, codes array<long>"))
-    release(spark)
+    sizes = met.groupBy("token", "hot", "n").agg(F.count("*").alias("c"), F.sum(F.col("early").cast("int")).alias("e"))
+    by_size = Window.partitionBy("token").orderBy("n")
+    smaller = F.last(F.when(F.col("e") > 0, F.col("n")), ignorenulls=True).over(by_size.rowsBetween(Window.unboundedPreceding, -1))
+    below = F.coalesce(100 * smaller >= percent * F.col("n"), F.lit(False))
+    above = F.coalesce(percent * F.lead("n").over(by_size) <= 100 * F.col("n"), F.lit(False))
+    sizes = sizes.select("token", "hot", "n", (below | (F.col("e") > 0)).alias("if_late"), (below | above | (F.col("c") > 1)).alias("if_early")).where("if_late or if_early")
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), SALTS - 1).otherwise(0)))).drop("hot")
+    rows = met.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int")).otherwise(0))
+    return rows.join(sizes, ["token", "n", "salt"]).where("if(early, if_early, if_late)").select("token", "sid", "n")
 
-    # A row stays if its token has a partner of fitting size: a smaller one that has it early, or a larger one if it has it early.
-    w = Window.partitionBy("token")
-    by_size = w.orderBy("n", "sid")
-    met = met.withColumns({"smaller": F.max(F.when(F.col("early"), F.col("n"))).over(by_size.rowsBetween(Window.unboundedPreceding, -1)), "larger": F.lead("n").over(by_size)})
-    met = met.where((100 * F.col("smaller") >= percent * F.col("n")) | (F.col("early") & (percent * F.col("larger") <= 100 * F.col("n"))))
-    met = staged(met.select("token", "sid", "n"), "fitting")
 
-    # Tokens that have the very same members say the same: one of them stays, known by two sums of hashes.
-    mark = lambda seed: F.sum(F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(1 << 30)))
-    groups = met.groupBy("token").agg(F.count("*").alias("m"), mark(1).alias("x"), mark(2).alias("y"), F.sum(F.col("n").cast("long")).alias("weight"), F.min("sid").alias("head")).where("m > 1")
-    groups = staged(groups.groupBy("m", "x", "y").agg(F.min_by(F.struct("token", "weight", "head"), "token").alias("g")).selectExpr("g.token", "m", "g.weight", "g.head"), "groups")
-    near = staged(met.join(groups, "token"), "near")
+def _compared(dealt: DataFrame, texts: DataFrame, told, shared: frozenset[int], percent: int, words: int) -> DataFrame:
+    """(a, b): links, a spanning forest of each block's. dealt: key, i, j, side, sid, known, rid; sets of one (key, i, j) are compared.
 
-    # Groups that touch are compared as one where that sends fewer sets about than taking them one by one.
-    label = components(near.select(F.col("sid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "sid")
-    deal = lambda m, x: F.greatest(F.ceil(F.col(m) / BLOCK_MEMBERS), F.ceil(F.col(x) / BLOCK_SHINGLES)).cast("int")
-    parts = near.select("sid", "n").distinct().join(label, "sid")
-    size = parts.groupBy("component").agg(F.count("*").alias("cm"), F.sum(F.col("n").cast("long")).alias("cw"))
-    cost = groups.join(label, groups["head"] == label["sid"]).groupBy("component").agg(F.sum(F.col("m") * deal("m", "weight")).alias("apart"))
-    size = size.join(cost, "component").withColumn("blocks", deal("cm", "cw")).withColumn("together", F.col("cm") * F.col("blocks") <= F.col("apart"))
-    parts = staged(parts.join(size, "component").select("sid", "component", "blocks", "together"), "parts")
-    whole = parts.where("together").select(F.col("component").alias("key"), "sid", "blocks")
-    apart = parts.where("not together").select("sid").join(near, "sid").select(F.col("token").alias("key"), "sid", deal("m", "weight").alias("blocks"))
-    wanted = whole.unionByName(apart).withColumn("own", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    wanted = wanted.select("key", "sid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    wanted = staged(wanted.join(sets.select("sid", "first_id"), "sid"), "wanted")
-
-    # Which documents' sets are needed: a bitmap of fixed size in front of the exact join.
-    asked = count_sketch(wanted.select(F.xxhash64("first_id").alias("h")), lambda b: [np.asarray(b.column(0)).view("u8")], "u1") > 0
+    rid tells whose text makes the set. Which rows are needed is told by a bitmap of fixed size in front of the exact join.
+    """
+    spark = dealt.sparkSession
+    asked = count_sketch(dealt.select(F.xxhash64("rid").alias("h")), lambda b: [np.asarray(b.column(0)).view("u8")], "u1") > 0
     ask = spark.sparkContext.broadcast(np.packbits(asked))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(ask.value).view(bool)
+        seen: set[int] = set()  # of this task's rows: one of equal rows is enough
         for b in batches:
             keep = bits[np.asarray(b.column(2)).view("u8") & np.uint64(len(bits) - 1)]
+            for k in np.nonzero(keep)[0].tolist():
+                rid = b.column(0)[k].as_py()
+                keep[k] = rid not in seen
+                seen.add(rid)
             if keep.any():
                 b = b.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["first_id", "text"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["rid", "text"])
 
-    asked_texts = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(needed, "first_id long, text string")
+    asked_texts = texts.select("rid", "text", F.xxhash64("rid").alias("h")).mapInArrow(needed, "rid long, text string")
     # Texts travel, not their sets: they are smaller once compressed.
-    dealt = wanted.join(asked_texts, "first_id").select("key", "i", "j", "side", "sid", "text")
-    parts_n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts_n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
+    rows = dealt.join(asked_texts, "rid").select("key", "i", "j", "side", "sid", "known", "text")
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "sid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = told.value
         at, rows = None, []
 
         def links() -> pa.RecordBatch:
-            sids, sides, sets_ = [], [], []
-            for (sid, side, _), h in zip(rows, shingle_sets(pa.array([t for _, _, t in rows], pa.large_string()), words), strict=True):
-                # an id can stand on several rows: each set is taken once, from a row that has it
-                if len(h) and set_id(h) == sid and not (sids and sids[-1] == sid):
+            sids, sides, known, sets_ = [], [], [], []
+            for (sid, side, was, _), h in zip(rows, shingle_sets(pa.array([t for *_, t in rows], pa.large_string()), words), strict=True):
+                # equal rows can come from several tasks, and rows of an equal hash with another text
+                if len(h) and not (sids and sids[-1] == sid) and set_id(h, shared) == sid:
                     sids.append(sid)
                     sides.append(side)
+                    known.append(was)
                     sets_.append(h)
             find = _Find(len(sids))
             if len(sids) > 1:
-                for a, b in linked_pairs(sets_, np.array(sides), c, percent):
+                for a, b in linked_pairs(sets_, np.array(sides), np.array(known), c, percent):
                     find.join(a, b)
             to = [(sids[k], sids[find(k)]) for k in range(len(sids)) if find(k) != k]
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in to], pa.int64()), pa.array([x for _, x in to], pa.int64())], ["a", "b"])
 
         for b in batches:
-            for key, i, j, side, sid, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
+            for key, i, j, side, sid, known, text in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 if (key, i, j) != at:
                     if len(rows) > 1:
                         yield links()
                     at, rows = (key, i, j), []
-                rows.append((sid, side, text))
+                rows.append((sid, side, known, text))
         if len(rows) > 1:
             yield links()
 
-    joined = components(dealt.mapInArrow(compare, "a long, b long"))
+    return rows.mapInArrow(compare, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row of docs.
+
+    Two documents link when 100 * |intersection| >= percent * |union| of their sets of distinct word
+    shingles; component_id is the smallest id reachable by links. Other columns are ignored, whatever
+    their names. A null, empty or blank text has an empty set and links with nothing (component_id is its
+    own id). Rows that repeat, texts or ids, are kept, one output row each. An empty table gives no rows;
+    rows with a null id take part like others, and their component is the smallest id that they reach, or null.
+    A text of any length is one set.
+
+    Equal sets meet first by a hash of the whole set, so copies cost one row each (sets that share a hash by chance
+    are told apart by another one). The token counts that order the tokens cover all documents, in a sketch of fixed
+    size: it steers the order only, not the result. Groups of more sets than a block holds are compared block by block
+    and with some representatives first; only pairs that this leaves in different classes are compared after that.
+    """
+    spark = docs.sparkSession
+    shared_dir(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
+
+    counts = count_sketch(docs.select("text"), lambda b: _sets_of(b, words))
+    told = spark.sparkContext.broadcast(counts)
+    hot = int(HOT * (counts.mean() + 1))
+
+    members = staged(docs.select("doc_id", "rid", "text").mapInArrow(_Identify(words), "doc_id long, rid long, n int, sid long, alt long"), "members")
+    by_set = lambda rows: staged(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("alt").alias("lo"), F.max("alt").alias("hi")), "sets")
+    sets = by_set(members)
+    shared = frozenset(r["sid"] for r in sets.where("lo <> hi").select("sid").limit(MOST_SHARED + 1).collect())
+    if len(shared) > MOST_SHARED:
+        raise RuntimeError("too many sets share an id; this is not to be expected of fewer than 10^12 documents")
+    if shared:
+        members = members.withColumn("sid", F.when(F.col("sid").isin(list(shared)), F.col("alt")).otherwise(F.col("sid")))
+        sets = by_set(members)
+    met = staged(_met(docs.select("text").mapInArrow(_Prefixes(told, hot, shared, percent, words), "sid long, tokens array<long>, codes array<long>")), "met")
+    release(spark)
+    met = staged(_fitting(met, percent), "fitting")
+
+    # Tokens that have the very same members say the same: one of them stays, known by two sums of hashes.
+    mark = lambda seed: F.sum(F.pmod(F.xxhash64("sid", F.lit(seed)), F.lit(1 << 30)))
+    groups = met.groupBy("token").agg(F.count("*").alias("m"), mark(1).alias("x"), mark(2).alias("y"), F.sum(F.col("n").cast("long")).alias("weight"), F.min("sid").alias("head")).where("m > 1")
+    groups = staged(groups.groupBy("m", "x", "y").agg(F.min_by(F.struct("token", "weight", "head"), "token").alias("g")).selectExpr("g.token", "m", "g.weight", "g.head"), "groups")
+    near = staged(met.join(groups, "token"), "near")
+
+    # Groups that touch are compared as one where that sends fewer sets about than taking them one by one.
+    label = components(near.select(F.col("sid").alias("a"), F.col("head").alias("b"))).withColumnRenamed("node", "sid")
+    deal = lambda m, x: F.greatest(F.ceil(F.col(m) / BLOCK_MEMBERS), F.ceil(F.col(x) / BLOCK_SHINGLES)).cast("int")
+    parts = near.select("sid", "n").distinct().join(label, "sid")
+    size = parts.groupBy("component").agg(F.count("*").alias("cm"), F.sum(F.col("n").cast("long")).alias("cw"))
+    cost = groups.join(label, groups["head"] == label["sid"]).groupBy("component").agg(F.sum(F.col("m") * deal("m", "weight")).alias("apart"))
+    size = size.join(cost, "component").withColumn("blocks", deal("cm", "cw")).withColumn("together", F.col("cm") * F.col("blocks") <= F.col("apart"))
+    parts = staged(parts.join(size, "component").select("sid", "n", "component", "blocks", "together"), "parts")
+    whole = parts.where("together").select(F.col("component").alias("key"), "sid", "n", "blocks")
+    apart = parts.where("not together").select("sid").join(near, "sid").select(F.col("token").alias("key"), "sid", "n", deal("m", "weight").alias("blocks"))
+    wanted = staged(whole.unionByName(apart).join(sets.select("sid", "rid"), "sid"), "wanted")
+
+    # Each block by itself, with the representatives of its group.
+    block = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), n).cast("int")
+    first = wanted.withColumn("own", block(F.col("blocks"), 3))
+    leads = (F.col("blocks") > 1) & (block(F.col("blocks") * (max(1, BLOCK_MEMBERS // REPRESENTATIVES)), 5) == 0)
+    first = first.withColumn("i", F.explode(F.when(leads, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+    first = first.select("key", "i", F.col("i").alias("j"), F.lit(0).alias("side"), "sid", F.col("sid").alias("known"), "rid")
+    joined = components(_compared(first, docs, told, shared, percent, words))
+
+    # Large groups: sets outside a group's largest class meet each other and that class.
+    large = wanted.where("blocks > 1").join(joined.selectExpr("node sid", "component known"), "sid", "left").withColumn("known", F.coalesce("known", "sid"))
+    classes = large.groupBy("key", "known").agg(F.count("*").alias("c"), F.sum(F.col("n").cast("long")).alias("w"))
+    largest = classes.groupBy("key").agg(F.max(F.struct("c", "known", "w")).alias("top"), F.sum("c").alias("m"), F.sum("w").alias("weight")).where("m > top.c")
+    largest = largest.select("key", F.col("top.known").alias("top"), F.col("top.c").alias("tc"), F.col("top.w").alias("tw"), (F.col("m") - F.col("top.c")).alias("oc"), (F.col("weight") - F.col("top.w")).alias("ow"))
+    largest = staged(largest.select("key", "top", deal("oc", "ow").alias("out"), deal("tc", "tw").alias("inn")), "largest")
+    if not largest.isEmpty():
+        second = large.join(largest, "key").withColumn("outside", F.col("known") != F.col("top"))
+        second = second.withColumn("own", F.when(F.col("outside"), block(F.col("out"), 7)).otherwise(F.col("out") + block(F.col("inn"), 7)))
+        second = second.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("outside"), F.col("out") + F.col("inn")).otherwise(F.col("out")) - 1)))
+        second = staged(second.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "known", "rid"), "second")
+        links = _compared(second, docs, told, shared, percent, words)
+        named = lambda c: joined.selectExpr(f"node {c}", f"component c{c}")
+        links = links.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        over = components(links).selectExpr("node k", "component over")
+        joined = joined.union(over.selectExpr("k", "k")).distinct().join(over, F.col("component") == F.col("k"), "left").selectExpr("node", "coalesce(over, component) component")
+
     named = sets.select("sid", "first_id").join(joined.selectExpr("node sid", "component"), "sid", "left")
     named = named.select("sid", "first_id", F.coalesce("component", "sid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -357,7 +429,10 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
 
 
 def keep_one(docs: DataFrame, percent: int = 85, words: int = 4) -> DataFrame:
-    """docs without those whose component has a smaller id; of rows that repeat an id, one stays. Null ids stay."""
+    """docs without those whose component has a smaller id; of rows that repeat an id, one stays.
+
+    Rows with a null id stay, whatever they are like; texts without words stay; an empty table stays empty; other columns pass through.
+    """
     groups = similar_groups(docs, percent, words)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")

@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 #: A word of the query contracts: a run without space, tab, newline, vertical tab, form feed, carriage return.
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 
-#: Counters of a sketch: fixed, so that what is broadcast (2 bytes each) never grows with the input.
+#: Counters of a sketch: fixed, so that what is broadcast (1 byte each) never grows with the input.
 SKETCH_BUCKETS = 1 << 24
 _BLOCKS = 64
+#: Levels of a sketch to each doubling of a count: 255 of them reach beyond 2^60.
+_LEVELS = 4
 
 _staged: list[tuple[SparkSession, str]] = []
 
@@ -116,60 +118,71 @@ def cleanup() -> None:
 atexit.register(cleanup)
 
 
-def count_sketch(df: DataFrame, hashes, kind: str = "u2") -> np.ndarray:
-    """Counts of 64-bit hashes by their low bits, over all rows, in SKETCH_BUCKETS saturating counters.
+def level(counts: np.ndarray) -> np.ndarray:
+    """Counts as levels of one byte, on a logarithmic scale that no corpus fills."""
+    return np.rint(_LEVELS * np.log2(1.0 + counts)).astype("u1")
+
+
+def count_sketch(df: DataFrame, hashes) -> tuple[np.ndarray, float]:
+    """(levels, mean count) of 64-bit hashes by their low bits, over all rows, in SKETCH_BUCKETS counters; see level().
 
     hashes: function of a record batch to arrays of uint64, each without repeats. Each task adds up its own counters and
     sends them compressed, in blocks; blocks meet in a few tasks that add them as a stream.
     """
+    size = SKETCH_BUCKETS // _BLOCKS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH_BUCKETS, "u4")
-        some, one = False, np.uint32(1)
-        for b in batches:
-            for h in hashes(b):
-                some = True
-                np.add.at(counts, (h & np.uint64(SKETCH_BUCKETS - 1)).astype("i8"), one)
-        if some:
+        counts, sets, one = np.zeros(SKETCH_BUCKETS, "u2"), 0, np.uint16(1)
+
+        def told() -> Iterator[pa.RecordBatch]:
             for k, x in enumerate(np.split(counts, _BLOCKS)):
                 x = x.astype("u1") if x.max() < 256 else x
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
+        for b in batches:
+            for h in hashes(b):
+                sets += 1
+                np.add.at(counts, (h & np.uint64(SKETCH_BUCKETS - 1)).astype("i8"), one)
+                if sets == 50_000:  # before a counter is full: a set counts once in it, but for chance
+                    yield from told()
+                    counts[:] = 0
+                    sets = 0
+        if sets:
+            yield from told()
+
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 x = zlib.decompress(x)
-                x = np.frombuffer(x, "u1" if len(x) == SKETCH_BUCKETS // _BLOCKS else "u4").astype("u8")
+                x = np.frombuffer(x, "u1" if len(x) == size else "u2").astype("u8")
                 sums[k] = sums[k] + x if k in sums else x
-        top = np.iinfo(kind).max
         for k, x in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(np.minimum(x, top).astype(kind).tobytes(), 1)], pa.binary())], ["block", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([zlib.compress(level(x).tobytes(), 1)], pa.binary()), pa.array([float(x.sum())])], ["block", "counts", "n"])
 
-    schema = "block int, counts binary"
-    rows = df.mapInArrow(part, schema).repartition(16, "block").mapInArrow(total, schema).collect()
-    out = np.zeros((_BLOCKS, SKETCH_BUCKETS // _BLOCKS), kind)
+    rows = df.mapInArrow(part, "block int, counts binary").repartition(16, "block").mapInArrow(total, "block int, counts binary, n double").collect()
+    out = np.zeros((_BLOCKS, size), "u1")
     for r in rows:
-        out[r[0]] = np.frombuffer(zlib.decompress(bytes(r[1])), kind)
-    return out.reshape(-1)
+        out[r[0]] = np.frombuffer(zlib.decompress(bytes(r[1])), "u1")
+    return out.reshape(-1), sum(r[2] for r in rows) / SKETCH_BUCKETS
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that edges (a, b: long) connect it with; nodes without edges are left out.
 
     Every round hooks each root onto the smallest root next to it and then shortens paths, so rounds grow with the
-    logarithm of the longest path. A round writes one table to the shared folder: the labels, and whether they were
-    hooked. When no edge crosses two labels, each component has one, which is its smallest node.
+    logarithm of the longest path. A round writes its hooks and its labels to the shared folder. When no edge crosses
+    two labels, each component has one, which is its smallest node.
     """
     edges = staged(edges.where("a <> b").distinct(), "edges")
     label = staged(edges.selectExpr("a node", "b other").union(edges.selectExpr("b", "a")).groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("component")), "labels")
     for _ in range(most_rounds):
         a, b = label.selectExpr("node a", "component ca"), label.selectExpr("node b", "component cb")
         cross = edges.join(a, "a").join(b, "b").where("ca <> cb").select(F.greatest("ca", "cb").alias("root"), F.least("ca", "cb").alias("to")).groupBy("root").agg(F.min("to").alias("to"))
-        hooked = label.join(cross, F.col("component") == F.col("root"), "left").selectExpr("node", "coalesce(to, component) component", "to is not null hooked")
-        up = hooked.selectExpr("node root2", "component to2")
-        hooked = staged(hooked.join(up, F.col("component") == F.col("root2"), "left").selectExpr("node", "coalesce(to2, component) component", "hooked"), "labels")
-        label = hooked.select("node", "component")
-        if hooked.where("hooked").isEmpty():
+        cross = staged(cross, "hooks")  # joined as it was written: where many nodes have one root, Spark can deal them out
+        if cross.isEmpty():
             return label
+        hooked = label.join(cross, F.col("component") == F.col("root"), "left").selectExpr("node", "coalesce(to, component) component")
+        up = hooked.selectExpr("node root2", "component to2")
+        label = staged(hooked.join(up, F.col("component") == F.col("root2"), "left").selectExpr("node", "coalesce(to2, component) component"), "labels")
     raise RuntimeError("components did not settle")

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_of, components, count_sketch, release, shared_dir, staged
+from .common import columns_of, components, count_sketch, level, release, shared_dir, staged
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Members and shingles of a block whose pairs one task compares; larger groups are dealt out block against block.
@@ -41,7 +41,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.random.default_rng(2024).integers(1, 1 << 63, 256, dtype="u8") | np.uint64(1)
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _BASE, _BASE_INVERSE = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 1 << 64)
-_CHUNK = 1 << 20
+#: Bytes of text that are hashed at once; only a longer text takes more.
+_CHUNK = 1 << 18
 _powers = [np.ones(1, "u8"), np.ones(1, "u8")]
 
 
@@ -123,8 +124,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def orders(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     """Positions of h's tokens under each global order."""
-    level = np.log2(_counted(h, counts).astype("f4") + 1).astype("u1")
-    return [rare_first(h, counts), np.lexsort((_mix(h, 1), level)), np.argsort(_mix(h, 2), kind="stable")]
+    doubling = _counted(h, counts) // 4
+    return [rare_first(h, counts), np.lexsort((_mix(h, 1), doubling)), np.argsort(_mix(h, 2), kind="stable")]
 
 
 def _counted(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -132,7 +133,7 @@ def _counted(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def rare_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions of h's tokens (ascending hashes) by count, then hash."""
+    """Positions of h's tokens (ascending hashes) by level of their count, then hash."""
     return np.argsort(_counted(h, counts), kind="stable")
 
 
@@ -286,14 +287,15 @@ def _compared(dealt: DataFrame, texts: DataFrame, told, shared: frozenset[int],
     rid tells whose text makes the set. Which rows are needed is told by a bitmap of fixed size in front of the exact join.
     """
     spark = dealt.sparkSession
-    asked = count_sketch(dealt.select(F.xxhash64("rid").alias("h")), lambda b: [np.asarray(b.column(0)).view("u8")], "u1") > 0
-    ask = spark.sparkContext.broadcast(np.packbits(asked))
+    asked, _ = count_sketch(dealt.select(F.xxhash64("rid").alias("h")), lambda b: [np.unique(np.asarray(b.column(0)).view("u8"))])
+    ask = spark.sparkContext.broadcast(np.packbits(asked > 0, bitorder="little"))
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(ask.value).view(bool)
+        bits = ask.value
         seen: set[int] = set()  # of this task's rows: one of equal rows is enough
         for b in batches:
-            keep = bits[np.asarray(b.column(2)).view("u8") & np.uint64(len(bits) - 1)]
+            at = np.asarray(b.column(2)).view("u8") & np.uint64(8 * len(bits) - 1)
+            keep = (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype("u1") & 1).astype(bool)
             for k in np.nonzero(keep)[0].tolist():
                 rid = b.column(0)[k].as_py()
                 keep[k] = rid not in seen
@@ -360,9 +362,9 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     shared_dir(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
 
-    counts = count_sketch(docs.select("text"), lambda b: _sets_of(b, words))
-    told = spark.sparkContext.broadcast(counts)
-    hot = int(HOT * (counts.mean() + 1))
+    levels, mean = count_sketch(docs.select("text"), lambda b: _sets_of(b, words))
+    told = spark.sparkContext.broadcast(levels)
+    hot = int(level(np.array([HOT * (mean + 1)]))[0])
 
     members = staged(docs.select("doc_id", "rid", "text").mapInArrow(_Identify(words), "doc_id long, rid long, n int, sid long, alt long"), "members")
     by_set = lambda rows: staged(rows.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.min("n").alias("n"), F.min("alt").alias("lo"), F.max("alt").alias("hi")), "sets")
@@ -420,6 +422,7 @@ def similar_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
         over = components(links).selectExpr("node k", "component over")
         joined = joined.union(over.selectExpr("k", "k")).distinct().join(over, F.col("component") == F.col("k"), "left").selectExpr("node", "coalesce(over, component) component")
 
+    told.unpersist()
     named = sets.select("sid", "first_id").join(joined.selectExpr("node sid", "component"), "sid", "left")
     named = named.select("sid", "first_id", F.coalesce("component", "sid").alias("component"))
     lowest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))

@@ -1,7 +1,10 @@
-"""Text search compiled to expressions: CONTAINS and FREETEXT over one column and a constant query."""
+"""Text search compiled to expressions or to SQL: CONTAINS and FREETEXT over one column and a constant query."""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,28 +12,39 @@ from pyspark.sql import functions as F
 CONNECTIVES = ("and", "or", "not")
 
 
+def terms(query: str) -> list[tuple[str, str]]:
+    """What a CONTAINS query asks for, all of it: ("has", text) occurs, ("begins", text) begins some word."""
+    query = query.strip().lower()
+    if len(query) > 1 and query[0] == query[-1] == '"':
+        return [("has", query[1:-1])]
+    return [("begins", w[:-1]) if w.endswith("*") else ("has", w.strip('"')) for w in query.split() if w not in CONNECTIVES]
+
+
 def _begins(stem: str):
     return lambda t: t.startswith(stem)
 
 
 def contains(c: Column, query: str) -> Column:
     """A "phrase" occurs; else all words occur as substrings; word* begins some word. Null texts do not match."""
-    query = query.strip().lower()
-    if len(query) > 1 and query[0] == query[-1] == '"':
-        return F.coalesce(F.contains(F.lower(c), F.lit(query[1:-1])), F.lit(False))
-    out = F.lit(True)
-    for word in (w for w in query.split() if w not in CONNECTIVES):
-        if word.endswith("*"):
-            hit = F.exists(F.split(F.lower(c), r"\s+"), _begins(word[:-1]))
-        else:
-            hit = F.contains(F.lower(c), F.lit(word.strip('"')))
-        out = out & hit
-    return F.coalesce(out, F.lit(False))
+    hits = [F.exists(F.split(F.lower(c), r"\s+"), _begins(w)) if kind == "begins" else F.contains(F.lower(c), F.lit(w)) for kind, w in terms(query)]
+    return F.coalesce(reduce(and_, hits, F.lit(True)), F.lit(False))
 
 
 def freetext(c: Column, query: str) -> Column:
     """Any word of the query occurs as a substring."""
-    out = F.lit(False)
-    for word in query.lower().split():
-        out = out | F.contains(F.lower(c), F.lit(word))
-    return F.coalesce(out, F.lit(False))
+    return F.coalesce(reduce(or_, (F.contains(F.lower(c), F.lit(w)) for w in query.lower().split()), F.lit(False)), F.lit(False))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_sql(c: str, query: str) -> str:
+    """contains() as SQL text."""
+    hits = [f"exists(split(lower({c}), '\\\\s+'), w -> startswith(w, {_quoted(w)}))" if kind == "begins" else f"contains(lower({c}), {_quoted(w)})" for kind, w in terms(query)]
+    return f"coalesce({' AND '.join(hits) or 'true'}, false)"
+
+
+def freetext_sql(c: str, query: str) -> str:
+    """freetext() as SQL text."""
+    return f"coalesce({' OR '.join(f'contains(lower({c}), {_quoted(w)})' for w in query.lower().split()) or 'false'}, false)"

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import TABLES, register
+from ..sources.tables import TABLES
 from . import engine_queries
 
 _Entry = str | tuple[str | Callable[[SparkSession, str], DataFrame], str | None]
@@ -40,7 +40,7 @@ SQL: dict[str, _Entry] = {
     # scalar operators
     "expr_arith": "SELECT l_orderkey, l_partkey, l_suppkey, ROUND(l_extendedprice * (1 - l_discount) + l_tax, 4) AS v FROM lineitem",
     "expr_modulo": "SELECT o_orderkey, o_orderkey % 7 AS m, -o_orderkey % 7 AS neg FROM orders",
-    "expr_int_div": ("SELECT o_orderkey, o_orderkey DIV 7 AS d FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d FROM orders"),
+    "expr_int_div": ("SELECT o_orderkey, o_orderkey / 7 AS d FROM orders", "SELECT o_orderkey, o_orderkey // 7 AS d FROM orders"),
     "expr_neg": "SELECT c_custkey, ROUND(-c_acctbal, 2) AS neg FROM customer",
     "expr_concat_op": "SELECT n_nationkey, n_name || '/' || NULLIF(n_name, 'FRANCE') AS two FROM nation",
     "expr_case_searched": "SELECT p_partkey, CASE WHEN p_size < 10 THEN 'small' WHEN p_size < 30 THEN 'middle' ELSE 'large' END AS size_class FROM part",
@@ -72,7 +72,8 @@ SQL: dict[str, _Entry] = {
     "fn_date_add_sub": ("SELECT o_orderkey, CAST(DATE_ADD(CAST(o_orderdate AS DATE), 30) AS STRING) AS a, CAST(DATE_SUB(CAST(o_orderdate AS DATE), 7) AS STRING) AS s FROM orders", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 30 AS VARCHAR) AS a, CAST(CAST(o_orderdate AS DATE) - 7 AS VARCHAR) AS s FROM orders"),
     "fn_datediff": ("SELECT l_orderkey, l_partkey, CAST(DATEDIFF(l_shipdate, o_orderdate) AS BIGINT) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "SELECT l_orderkey, l_partkey, CAST(DATEDIFF('day', o_orderdate, l_shipdate) AS BIGINT) AS days FROM lineitem JOIN orders ON l_orderkey = o_orderkey"),
     "fn_extract": "SELECT o_orderkey, CAST(EXTRACT(YEAR FROM o_orderdate) AS INT) AS y, CAST(EXTRACT(QUARTER FROM o_orderdate) AS INT) AS q FROM orders",
-    "fn_now": ("SELECT CURRENT_TIMESTAMP() AS now, UUID() AS id", None),
+    "fn_now": ("SELECT n_nationkey, GETDATE() >= TIMESTAMP '2020-01-01 00:00:00' AND CURDATE() >= DATE '2020-01-01' AND NOW() IS NOT NULL AS later, LEN(NEWID()) AS id_length FROM nation", "SELECT n_nationkey, true AS later, 36 AS id_length FROM nation"),
+    "fn_date_add_keeps_time": ("SELECT event_id, DATE_ADD(ts, 3) AS later, DATE_SUB(ts, 40) AS earlier FROM events", "SELECT event_id, ts + INTERVAL 3 DAY AS later, ts - INTERVAL 40 DAY AS earlier FROM events"),
     # joins
     "join_inner": "SELECT c_custkey, o_orderkey FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > 5000",
     "join_left": "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN (SELECT * FROM orders WHERE o_totalprice > 350000) o ON c.c_custkey = o.o_custkey",
@@ -86,6 +87,8 @@ SQL: dict[str, _Entry] = {
     "join_multiway": "SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "join_nested": "SELECT c_custkey, n_name, r_name FROM customer JOIN (nation JOIN region ON n_regionkey = r_regionkey) ON c_nationkey = n_nationkey WHERE r_name = 'ASIA'",
     "join_null_keys": "SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation) a JOIN (SELECT n_nationkey, NULLIF(n_regionkey, 2) AS k FROM nation) b ON a.k = b.k",
+    "join_using": "SELECT r_regionkey, n_name FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n JOIN region USING (r_regionkey)",
+    "join_natural": "SELECT r_name, n_name FROM (SELECT n_regionkey AS r_regionkey, n_name FROM nation) n NATURAL JOIN region",
     "join_bigint_int": "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_suppkey = n_nationkey",
     # subqueries
     "semi_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)",
@@ -128,11 +131,12 @@ SQL: dict[str, _Entry] = {
     "win_avg": "SELECT event_id, ROUND(AVG(value) OVER (PARTITION BY user_id), 6) AS a FROM events",
     "win_count": "SELECT event_id, COUNT(*) OVER (PARTITION BY user_id, event_type) AS n FROM events",
     "win_min_max": "SELECT event_id, MIN(value) OVER (PARTITION BY user_id) AS lo, MAX(value) OVER (PARTITION BY user_id) AS hi FROM events",
+    "win_order_nulls": ("SELECT n_nationkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC, n_nationkey) AS BIGINT) AS rn FROM nation", "SELECT n_nationkey, CAST(ROW_NUMBER() OVER (ORDER BY NULLIF(n_regionkey, 2) DESC NULLS LAST, n_nationkey) AS BIGINT) AS rn FROM nation"),
     "win_over_agg": "SELECT o_custkey, COUNT(*) AS n, CAST(RANK() OVER (PARTITION BY COUNT(*) ORDER BY o_custkey) AS BIGINT) AS r FROM orders GROUP BY o_custkey",
     # sorting and limits
     "sort_multi": "SELECT c_custkey, c_mktsegment, c_acctbal FROM customer ORDER BY c_mktsegment, c_acctbal DESC, c_custkey LIMIT 40",
-    "sort_desc_nulls": "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r DESC NULLS LAST, n_nationkey LIMIT 22",
-    "sort_asc_nulls": "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r ASC NULLS LAST, n_nationkey LIMIT 22",
+    "sort_desc_nulls": ("SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r DESC, n_nationkey LIMIT 22", "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r DESC NULLS LAST, n_nationkey LIMIT 22"),
+    "sort_asc_nulls": ("SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r, n_nationkey LIMIT 22", "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS r FROM nation ORDER BY r ASC NULLS LAST, n_nationkey LIMIT 22"),
     "sort_by_alias": "SELECT p_partkey, p_size * 2 AS twice FROM part ORDER BY twice DESC, p_partkey LIMIT 25",
     "sort_by_unselected": "SELECT p_partkey FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 25",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
@@ -152,27 +156,13 @@ SQL: dict[str, _Entry] = {
     "derived_table": "SELECT seg, n FROM (SELECT c_mktsegment AS seg, COUNT(*) AS n FROM customer GROUP BY c_mktsegment) d WHERE n > 10",
     "derived_nested": "SELECT MAX(n) AS top FROM (SELECT k, COUNT(*) AS n FROM (SELECT o_custkey AS k FROM orders) a GROUP BY k) b",
     # text search: words and phrases are substrings of the lower-cased text
-    "fts_contains_word": (engine_queries.search("contains", "the"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'the')"),
-    "fts_contains_all": (engine_queries.search("contains", "the and tion"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')"),
-    "fts_contains_phrase": (engine_queries.search("contains", '"rights reserved"'), "SELECT doc_id FROM documents WHERE contains(lower(text), 'rights reserved')"),
-    "fts_contains_prefix": (engine_queries.search("contains", "wor*"), "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|\\s)wor')"),
-    "fts_freetext_any": (engine_queries.search("freetext", "idiot licensed"), "SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'licensed')"),
+    "fts_contains_word": ("SELECT doc_id FROM documents WHERE CONTAINS(text, 'the')", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the')"),
+    "fts_contains_all": ("SELECT doc_id FROM documents WHERE CONTAINS(text, 'the and tion')", "SELECT doc_id FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'tion')"),
+    "fts_contains_phrase": ("SELECT doc_id FROM documents WHERE CONTAINS(text, '\"rights reserved\"')", "SELECT doc_id FROM documents WHERE contains(lower(text), 'rights reserved')"),
+    "fts_contains_prefix": ("SELECT doc_id FROM documents WHERE CONTAINS(text, 'wor*')", "SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|\\s)wor')"),
+    "fts_freetext_any": ("SELECT doc_id FROM documents WHERE FREETEXT(text, 'idiot licensed')", "SELECT doc_id FROM documents WHERE contains(lower(text), 'idiot') OR contains(lower(text), 'licensed')"),
     # the engine's own statements, returned as frames
-    "dml_insert": (engine_queries.dml_insert, "SELECT * FROM region UNION ALL SELECT 100, 'ATLANTIS'"),
-    "dml_update": (engine_queries.dml_update, "SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN upper(n_name) || '!' ELSE n_name END AS n_name, n_regionkey FROM nation"),
-    "dml_delete": (engine_queries.dml_delete, "SELECT * FROM supplier WHERE NOT coalesce(s_acctbal < 0, false)"),
-    "dml_upsert": (engine_queries.dml_upsert, "SELECT r_regionkey, CASE WHEN r_regionkey = 1 THEN 'NEW' ELSE r_name END AS r_name FROM region UNION ALL SELECT 50, 'FIFTY'"),
-    "dml_truncate": (engine_queries.dml_truncate, "SELECT COUNT(*) AS n FROM region WHERE false"),
-    "txn_rollback": (engine_queries.txn_rollback, "SELECT * FROM region"),
-    "txn_savepoint": (engine_queries.txn_savepoint, "SELECT * FROM region WHERE r_regionkey <> 0"),
-    "fk_cascade": (engine_queries.fk_cascade, "SELECT n_nationkey, n_regionkey FROM nation WHERE n_regionkey <> 2"),
-    "fk_set_null": (engine_queries.fk_set_null, "SELECT n_nationkey, NULLIF(n_regionkey, 2) AS n_regionkey FROM nation"),
-    "partition_range_read": (engine_queries.partition_range_read, "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 2000 AND o_orderkey < 2500"),
-    "sequence_nextval": (engine_queries.sequence_nextval, "SELECT 10 AS a, 15 AS b UNION ALL SELECT 20, 25"),
-    "analyze_stats": (engine_queries.analyze_stats, "SELECT 'n_regionkey' AS column_name, CAST(25 AS BIGINT) AS row_count, COUNT(DISTINCT n_regionkey) AS distinct_count, CAST(0 AS BIGINT) AS null_count, CAST(MIN(n_regionkey) AS VARCHAR) AS min_value, CAST(MAX(n_regionkey) AS VARCHAR) AS max_value FROM nation"),
-    "view_query": (engine_queries.view_query, "SELECT n_regionkey, COUNT(*) AS n FROM nation GROUP BY n_regionkey"),
-    "insert_select_result": (engine_queries.insert_select, "SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 3"),
-    "tsql_top": (engine_queries.tsql_top, "SELECT o_orderkey, CAST(length(o_orderpriority) AS BIGINT) AS n FROM orders ORDER BY o_orderkey LIMIT 7"),
+    **engine_queries.SQL,
     # beyond the reference
     "extra_rollup": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "extra_event_windows": ("SELECT CAST(CAST(ts AS DATE) AS STRING) AS day, event_type, COUNT(*) AS n FROM events GROUP BY CAST(ts AS DATE), event_type", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, COUNT(*) AS n FROM events GROUP BY CAST(ts AS DATE), event_type"),
@@ -186,11 +176,14 @@ SQL: dict[str, _Entry] = {
 
 
 def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A query through the engine, over the folder's tables as they lie there."""
     used = tuple(t for t in TABLES if re.search(rf"\b{t}\b", text))
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, used)
-        return spark.sql(text)
+        engine = engine_queries.session(spark)
+        for name in used:
+            engine.attach(name, f"{sf_dir}/{name}.parquet")
+        return engine.sql(text)
 
     return query
 

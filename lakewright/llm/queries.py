@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_tree, ngram_join, packing, pii_votes, quality_bayes, quality_rules, toxicity_fm, warc
-from . import piece_bpe, token_rollup
+from . import oracles, piece_bpe, token_rollup
 from .common import new_path, staged, table
 
 
@@ -39,23 +39,41 @@ def op4_ann_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.search(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are inserted (twice, by one batch id), copies of a text but the first deleted, and texts without their repeated lines revised."""
-    docs = table(spark, sf_dir, "documents")
-    words = lambda c: F.expr(f"size({quality_rules.words_of(f'coalesce({c}, {chr(39) * 2})')})").cast("long")
-    base = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n").alias("revised"))
-    base = base.withColumns({"w0": words("text"), "w1": words("revised")})
-    counted = staged(token_rollup.count_tokens(base, {"text": "t0", "revised": "t1"}, tokenizer_file("word_bpe_49k.json")), "counts")
+def _rollup(spark: SparkSession, counted: DataFrame, versions: dict[str, tuple[str, str]]) -> DataFrame:
+    """All documents are inserted (twice, by one batch id), copies of a text but the first deleted, and texts without their repeated lines revised.
+
+    versions: of each tokenizer version, the columns of counted that hold the counts of a text and of the revised one.
+    """
     rollup = token_rollup.TokenRollup(spark, new_path(spark, "rollup"))
-    before = {"words/1": "w0", "word_bpe_49k/1": "t0"}
+    before = {v: c for v, (c, _) in versions.items()}
     for _ in range(2):
         rollup.commit("load", token_rollup.changes(counted, before, 1))
-    stay = staged(counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang", "w0", "w1", "t0", "t1")).alias("x")).select("x.*"), "stay")
+    counts = sorted({c for pair in versions.values() for c in pair})
+    stay = staged(counted.groupBy("digest").agg(F.min(F.struct("doc_id", "source", "lang", *counts)).alias("x")).select("x.*"), "stay")
     rollup.commit("copies", token_rollup.changes(counted, before, -1).unionByName(token_rollup.changes(stay, before, 1)))
-    rollup.commit("lines", token_rollup.revisions(stay, {"words/1": ("w0", "w1"), "word_bpe_49k/1": ("t0", "t1")}))
+    rollup.commit("lines", token_rollup.revisions(stay, versions))
     return rollup.totals()
 
 
+def _words(docs: DataFrame) -> DataFrame:
+    """doc_id, source, lang, digest, text, revised (without repeated lines), and the words of both: w0, w1."""
+    words = lambda c: F.expr(f"size({quality_rules.words_of(f'coalesce({c}, {chr(39) * 2})')})").cast("long")
+    base = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest"), "text", F.array_join(F.array_distinct(F.split("text", "\n", -1)), "\n").alias("revised"))
+    return base.withColumns({"w0": words("text"), "w1": words("revised")})
+
+
+def op5_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and the tokens of a tokenizer file, through three batches; see _rollup()."""
+    counted = staged(token_rollup.count_tokens(_words(table(spark, sf_dir, "documents")), {"text": "t0", "revised": "t1"}, tokenizer_file("word_bpe_49k.json")), "counts")
+    return _rollup(spark, counted, {"words/1": ("w0", "w1"), "word_bpe_49k/1": ("t0", "t1")})
+
+
+def llm_word_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The word counts of op5 alone, which SQL can check."""
+    counted = staged(_words(table(spark, sf_dir, "documents")).drop("text", "revised"), "counts")
+    return _rollup(spark, counted, {"words/1": ("w0", "w1")})
+
+
 def op6_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return piece_bpe.encode(docs, tokenizer_file("piece_bpe_32k.model"), with_ids=False, with_text=False)
@@ -74,32 +92,30 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
 
 
-def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pii(docs: DataFrame, weights: dict | None = None) -> DataFrame:
     """The contract's columns, and how many spans there are of the other kinds and in all."""
-    found = pii_votes.annotate(table(spark, sf_dir, "documents").select("doc_id", "text"), keep_text=False)
+    found = pii_votes.annotate(docs.select("doc_id", "text"), weights=weights, keep_text=False)
     n = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii_votes.BASE]
     more = [F.expr(f"cast(size(filter(spans, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in pii_votes.KINDS if k not in pii_votes.BASE]
     base = F.sha2(F.expr(pii_votes.listed("filter(spans, s -> s.base)")), 256).alias("base_sha256")
     return found.select("doc_id", *n, base, F.expr(pii_votes.listed("spans")).alias("spans"), *more, F.size("spans").cast("long").alias("n_spans"))
 
 
+def op10_pii_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(table(spark, sf_dir, "documents"))
+
+
+def llm_pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op10 alone, which SQL can check."""
+    return _pii(table(spark, sf_dir, "documents"), {}).select("doc_id", *(f"n_{k}" for k in pii_votes.BASE), "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality_bayes, op2_quality_rules, op3_toxicity_fm, op4_ann_tree, op5_token_rollup, op6_piece_bpe, op7_warc, op8_ngram_join, op9_packing, op10_pii_votes)
+        for f in (op1_quality_bayes, op2_quality_rules, op3_toxicity_fm, op4_ann_tree, op5_token_rollup, op6_piece_bpe, op7_warc, op8_ngram_join, op9_packing, op10_pii_votes, llm_word_rollup, llm_pii_base)
     }
 
 
-# Archives are written in the order of nothing in particular, so SQL can say what the records must be.
-OP7_SQL = """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-     f AS (SELECT payload_digest, min(page_id) AS smallest FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
-SELECT p.page_id, CAST(p.payload_bytes AS BIGINT) AS payload_bytes, p.payload_digest,
-       CASE WHEN f.smallest < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN f.smallest < p.page_id THEN f.smallest END AS refers_to
-FROM p LEFT JOIN f ON p.payload_digest = f.payload_digest AND p.payload_bytes >= 100
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op7_warc": OP7_SQL}
+    return {"op2_quality_rules": oracles.OP2, "op7_warc": oracles.OP7, "llm_word_rollup": oracles.WORD_ROLLUP, "llm_pii_base": oracles.PII_BASE}

@@ -96,10 +96,15 @@ def assess(docs: DataFrame, text_col: str = "text", loss_percent: int = LOSS_PER
 
 
 def clean(docs: DataFrame, text_col: str = "text", loss_percent: int = LOSS_PERCENT) -> DataFrame:
-    """The documents kept, without their failing lines; same columns as docs (n_chars follows the text where there is one)."""
-    own, back = aside(docs, "quality")
-    kept = assess(own, text_col, loss_percent).where("quality.kept")
-    kept = back(kept.withColumn(text_col, F.col("quality.clean_text")).drop("quality"))
+    """The documents kept, without their failing lines; same columns as docs (n_chars follows the text where there is one).
+
+    Nulls, blanks, repeated rows, clashing names and empty tables are as in assess().
+    """
+    own, back = aside(docs, "quality", "_place")
+    # A column that is not a function of the row keeps the optimizer from evaluating the rules in a filter and once more behind it.
+    judged = assess(own, text_col, loss_percent).withColumn("_place", F.monotonically_increasing_id())
+    kept = judged.where(F.col("quality.kept") & (F.col("_place") >= 0))
+    kept = back(kept.withColumn(text_col, F.col("quality.clean_text")).drop("quality", "_place"))
     if "n_chars" in docs.columns:
         kept = kept.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
     return columns_of(kept, docs)

@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. All stages but the last return the columns of documents.
+
+Every stage takes nulls in any column, blank and very long texts, repeated rows, empty tables and further columns of
+any name, which pass through to the packing stage. Null and blank texts have no words and go in the first stage; where
+a later one meets them, they are not toxic, have no near copies and nothing to mask. Rows with a null id stay where
+ids decide (of equal ids, one row stays). An empty table stays empty. Without labels of both kinds, no document is toxic
+on their account.
 """
 
 from __future__ import annotations

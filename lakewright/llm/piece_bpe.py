@@ -26,6 +26,8 @@ from .common import aside, ship
 SPACE = "▁"
 #: Stretches remembered by a worker, at most twice this many: about 250 bytes each.
 _CACHE_WORDS = 400_000
+#: Texts of a task that are compared with the library whole, besides every stretch by itself.
+VERIFIED = 64
 # Kinds of piece in the model file.
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 
@@ -147,7 +149,9 @@ class PieceModel:
         given = [s[1:] if s[0] == SPACE else "\n" + s for s in new]
         drop = [0 if s[0] == SPACE else len(lead) for s in new]
         own = [self.merge(s) for s in new]
-        if self.stretch is not None and self.dummy_prefix:
+        if self.stretch is None or not self.dummy_prefix:  # texts come whole, or nothing is put before them
+            given, drop = [s[1:] if self.dummy_prefix else s for s in new], [0] * len(new)
+        if new:
             told = self.library.encode(given, num_threads=1)
             for s, a, b, k in zip(new, own, told, drop, strict=True):
                 if a != b[k:] and s != SPACE:
@@ -183,6 +187,12 @@ class PieceModel:
         a, z = (np.array([x], "<u4").tobytes() for x in (self.begin, self.end))
         return [b"".join([a, *[young[s] for s in parts], z]) for parts in split]
 
+    def verify(self, texts: list[str | None], ids: list[bytes]) -> None:
+        """Whole texts against the library: stretches are right one by one, and so must they be put together."""
+        for text, own, told in zip(texts, ids, self.library.encode([t or "" for t in texts], add_bos=True, add_eos=True, num_threads=1), strict=True):
+            if np.frombuffer(own, "<u4").tolist() != told:
+                raise ValueError(f"the agenda and the library differ on {(text or '')[:80]!r}")
+
     def decode(self, ids: list[bytes]) -> list[str]:
         return self.library.decode([np.frombuffer(x, "<u4").tolist() for x in ids])
 
@@ -211,11 +221,15 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
     others = [c for c in docs.columns if c != "_t"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = _model(model_path)
+        m, verified = _model(model_path), 0
         for whole in batches:
             for low in range(0, whole.num_rows, 256):
                 b = whole.slice(low, 256)
                 ids = m.encode(b.column(at).to_pylist())
+                if verified < VERIFIED:
+                    part = b.column(at).slice(0, VERIFIED - verified).to_pylist()
+                    m.verify(part, ids[: len(part)])
+                    verified += len(part)
                 texts = m.decode(ids)
                 got = [
                     pa.array([len(x) // 4 for x in ids], pa.int64()),

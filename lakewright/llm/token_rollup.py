@@ -2,7 +2,9 @@
 
 A batch is aggregated to one row per source, language and tokenizer version and written beside the others; the
 totals are the sum of all committed batches. A batch's folder gets its name by one rename, so a batch is there
-whole or not at all, and a batch that is committed again changes nothing.
+whole or not at all, and a batch that is committed again changes nothing. That needs a store whose rename of a folder
+is atomic (HDFS, a POSIX file system); an object store that copies instead needs a table format in front of it.
+compact() sums what has been committed so far into one table, which totals() then reads in place of those batches.
 """
 
 from __future__ import annotations
@@ -59,21 +61,55 @@ class TokenRollup:
         files.delete(self._path(aside)[0], True)
         return False
 
-    def totals(self) -> DataFrame:
-        """source, lang, tokenizer, docs, tokens over all committed batches; groups that have come to nothing are left out."""
-        paths = [f"{self.folder}/batches/{b}" for b in self.committed()]
+    def _compacted(self) -> tuple[str | None, set[str]]:
+        """The newest compaction's folder and the batches that it covers."""
+        path, files = self._path("compacted")
+        names = sorted(s.getPath().getName() for s in files.listStatus(path)) if files.exists(path) else []
+        if not names:
+            return None, set()
+        folder = f"{self.folder}/compacted/{names[-1]}"
+        return f"{folder}/rows", {r[0] for r in self.spark.read.text(f"{folder}/covers").collect()}
+
+    def compact(self) -> int:
+        """Sum all batches committed so far into one table; how many it covers. Batches stay known by their ids."""
+        ids = self.committed()
+        last, covered = self._compacted()
+        if not ids or covered >= set(ids):
+            return len(ids)
+        aside = f"open-{uuid.uuid4().hex}"
+        self._sums(ids, last, covered).write.parquet(f"{self.folder}/{aside}/rows")
+        self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.text(f"{self.folder}/{aside}/covers")
+        # Named by how much it covers: of two at a time either holds whole batches, and none is lost.
+        final, files = self._path("compacted", f"{len(ids):012d}-{uuid.uuid4().hex}")
+        files.mkdirs(final.getParent())
+        if not files.rename(self._path(aside)[0], final):
+            files.delete(self._path(aside)[0], True)
+        return len(ids)
+
+    def _sums(self, ids: list[str], last: str | None, covered: set[str]) -> DataFrame:
+        paths = [*([last] if last else []), *(f"{self.folder}/batches/{b}" for b in ids if b not in covered)]
         rows = self.spark.read.schema(_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], _SCHEMA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs <> 0 or tokens <> 0")
 
+    def totals(self) -> DataFrame:
+        """source, lang, tokenizer, docs, tokens over all committed batches; groups that have come to nothing are left out."""
+        return self._sums(self.committed(), *self._compacted())
+
 
 def changes(docs: DataFrame, counts: dict[str, str], sign: int) -> DataFrame:
-    """Signed changes of docs: counts maps tokenizer versions to columns that hold their counts."""
+    """Signed changes of docs (source, lang and the counts): counts maps tokenizer versions to columns that hold their counts.
+
+    Null counts are 0; every row counts, repeated ones too; other columns are ignored; an empty table gives no changes.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(c).cast("long").alias("n")) for v, c in counts.items()]))
     return docs.select("source", "lang", each.alias("x")).select("source", "lang", "x.tokenizer", F.lit(sign).alias("docs"), (sign * F.coalesce("x.n", F.lit(0))).alias("tokens"))
 
 
 def revisions(docs: DataFrame, counts: dict[str, tuple[str, str]]) -> DataFrame:
-    """Changes of documents that stay with another count: counts maps versions to columns (before, after)."""
+    """Changes of documents that stay with another count: counts maps versions to columns (before, after).
+
+    A null count on either side changes nothing; every row counts, repeated ones too; an empty table gives no changes.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("tokenizer"), (F.col(b) - F.col(a)).cast("long").alias("n")) for v, (a, b) in counts.items()]))
     return docs.select("source", "lang", each.alias("x")).select("source", "lang", "x.tokenizer", F.lit(0).alias("docs"), F.coalesce("x.n", F.lit(0)).alias("tokens"))
 
@@ -81,10 +117,13 @@ def revisions(docs: DataFrame, counts: dict[str, tuple[str, str]]) -> DataFrame:
 def count_tokens(docs: DataFrame, text_cols: dict[str, str], tokenizer_path: str | None = None, counter: Callable[[str], int] | None = None) -> DataFrame:
     """docs without text_cols' texts but with the token count of each (text column: name of its count), by a tokenizer file or a function.
 
-    Null texts have 0 tokens. A second text that equals the first is not tokenised again.
+    Null and empty texts have 0 tokens, long ones are counted whole. A second text that equals the first is not
+    tokenised again. Rows that repeat are counted one by one, an empty table stays empty; other columns pass through,
+    but for those named like a count, which are replaced.
     """
     cols = list(text_cols)
-    others = [c for c in docs.columns if c not in text_cols]
+    counts = {c.lower() for c in text_cols.values()}
+    others = [c for c in docs.columns if c not in text_cols and c.lower() not in counts]
     docs = docs.select(*others, *(F.col(c).cast("string").alias(c) for c in cols))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

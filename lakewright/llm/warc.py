@@ -21,7 +21,10 @@ from pyspark.sql import functions as F
 
 from .common import new_path, staged
 
-CHUNK = 1 << 20
+#: Bytes read and inflated at a time: what is left of a chunk behind a member is copied.
+CHUNK = 1 << 16
+#: Records are handed on when they hold this many bytes.
+BATCH_BYTES = 16 << 20
 #: An archive file is closed beyond this many bytes and the next one begun.
 ARCHIVE_BYTES = 1 << 30
 MIN_REVISIT_BYTES = 100
@@ -83,7 +86,7 @@ class MemberStream:
             self.raw = b""
         self.out += self.inflate.decompress(data, CHUNK)
         if self.inflate.eof:
-            self.ended, self.raw = True, self.inflate.unused_data + (b"" if data is not self.inflate.unconsumed_tail else b"")
+            self.ended, self.raw = True, self.inflate.unused_data
         return True
 
     def line(self) -> bytes:
@@ -223,7 +226,7 @@ def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
                     for record in read_records(source):
                         rows.append(parse(record))
                         size += len(record.block)
-                        if len(rows) >= 1000 or size > 16 * CHUNK:
+                        if len(rows) >= 1000 or size > BATCH_BYTES:
                             yield batch(rows)
                             rows, size = [], 0
                 if rows:

@@ -26,15 +26,34 @@ _BLOCKS = 64
 #: Levels of a sketch to each doubling of a count: 255 of them reach beyond 2^60.
 _LEVELS = 4
 
+#: Rows of a batch that goes to Python where the session says nothing: texts are long, and batches are held several times over.
+BATCH_ROWS = 1000
+
 _staged: list[tuple[SparkSession, str]] = []
 
 
 _shipped: set[str] = set()
 
+#: In a Python worker: how to empty what each operator remembers there. Workers live on from one stage to the next.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    _memories[operator] = forget
+
+
+def only(operator: str) -> None:
+    """Called by a task in its worker: what other operators remember there goes."""
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, which may not have it installed; once a Spark application."""
+    """Send this package to the executors' Python, which may not have it installed, once a Spark application; bound Arrow batches."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId not in _shipped:
         _shipped.add(context.applicationId)
         top = Path(__file__).resolve().parents[2]
@@ -132,6 +151,7 @@ def count_sketch(df: DataFrame, hashes) -> tuple[np.ndarray, float]:
     size = SKETCH_BUCKETS // _BLOCKS
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("sketch")
         counts, sets, one = np.zeros(SKETCH_BUCKETS, "u2"), 0, np.uint16(1)
 
         def told() -> Iterator[pa.RecordBatch]:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import columns_of, components, count_sketch, level, release, shared_dir, staged
+from .common import columns_of, components, count_sketch, level, only, release, shared_dir, staged
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 #: Members and shingles of a block whose pairs one task compares; larger groups are dealt out block against block.
@@ -221,6 +221,7 @@ class _Identify:
         self.words = words
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("ngram join")
         for b in batches:
             got = [(len(h), *(set_ids(h) if len(h) else (None, None))) for h in _sets_of(b, self.words)]
             own = [pa.array([x[k] for x in got], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int64()))]

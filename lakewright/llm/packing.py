@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import only, remembers, staged
 
 CAPACITY, OPEN_WINDOWS = 2048, 32
 #: Partitions whose open windows meet in one task at the end.
@@ -127,6 +127,7 @@ class Encoder:
 
 
 _encoders: dict[str, Encoder] = {}
+remembers("tokens", _encoders.clear)
 
 
 def _encoder(path: str) -> Encoder:
@@ -169,6 +170,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int =
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("tokens")
         part = TaskContext.get().partitionId()
         encoder = _encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()

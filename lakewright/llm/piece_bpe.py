@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import aside, ship
+from .common import aside, only, remembers, ship
 
 SPACE = "▁"
 #: Stretches remembered by a worker, at most twice this many: about 250 bytes each.
@@ -198,6 +198,7 @@ class PieceModel:
 
 
 _models: dict[str, PieceModel] = {}
+remembers("pieces", _models.clear)
 
 
 def _model(path: str) -> PieceModel:
@@ -221,6 +222,7 @@ def encode(docs: DataFrame, model_path: str, text_col: str = "text", with_ids: b
     others = [c for c in docs.columns if c != "_t"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("pieces")
         m, verified = _model(model_path), 0
         for whole in batches:
             for low in range(0, whole.num_rows, 256):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, staged
+from .common import only, ship, staged
 
 BUCKETS, FEATURES, FACTORS = 1 << 18, 1024, 8
 #: The fit reads at most this many labelled rows, those with the smallest hashes of their ids.
@@ -166,6 +166,7 @@ def score(docs: DataFrame, model: FactorizationMachine, text_col: str = "text")
     at = docs.columns.index(text_col)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("toxicity")
         m = told.value
         present = _lookup(m.bucket)
         for b in batches:

@@ -846,9 +846,10 @@ def _asked(sql: str, column: str) -> tuple[float | None, float | None] | None:
 
 
 def _given_ids(rows: DataFrame, auto: str, first: int) -> DataFrame:
-    """rows with numbers for their missing ids: each task counts its own, and the sums before it tell where it begins."""
+    """rows with numbers for their missing ids, in the order of _at: the task that made a row is told by _at, each task's
+    rows are counted, and the sums before it tell where it begins."""
     spark = rows.sparkSession
-    rows = rows.withColumn("_task", F.spark_partition_id()).withColumn(auto, F.col(auto).cast("bigint"))
+    rows = rows.withColumn("_task", F.shiftright("_at", 33).cast("int")).withColumn(auto, F.col(auto).cast("bigint"))
     missing = {r[0]: r[1] for r in rows.where(F.col(auto).isNull()).groupBy("_task").count().collect()}  # a row a task
     if not missing:
         return rows.drop("_task")

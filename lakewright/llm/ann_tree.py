@@ -190,13 +190,17 @@ def _nearest(q_ids, q, ids, x, k: int):
             out_q.append(own[r])
             out_i.append(ids[c])
             out_s.append(exact_scores(part[r], x[c]))
-    q_, i_, s_ = (np.concatenate(c) if c else np.empty(0, kind) for c, kind in ((out_q, "i8"), (out_i, "i8"), (out_s, "f8")))
-    by = np.lexsort((i_, -s_, q_))
-    q_, i_, s_ = q_[by], i_[by], s_[by]
-    first = np.concatenate([[True], q_[1:] != q_[:-1]]) if len(q_) else np.empty(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(q_)), 0))
-    top = np.arange(len(q_)) - start < k
-    return [q_[top], i_[top], s_[top]]
+    return _cut(*(np.concatenate(c) if c else np.empty(0, kind) for c, kind in ((out_q, "i8"), (out_i, "i8"), (out_s, "f8"))), k)
+
+
+def _cut(q: np.ndarray, i: np.ndarray, s: np.ndarray, k: int) -> list[np.ndarray]:
+    """The k best rows of each query, best first."""
+    by = np.lexsort((i, -s, q))
+    q, i, s = q[by], i[by], s[by]
+    first = np.concatenate([[True], q[1:] != q[:-1]]) if len(q) else np.empty(0, bool)
+    start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    top = np.arange(len(q)) - start < k
+    return [q[top], i[top], s[top]]
 
 
 def _table(q, i, s, names=("query_id", "vec_id", "score")) -> pa.RecordBatch:
@@ -216,11 +220,13 @@ def true_neighbours(vectors: DataFrame, queries: list[tuple[int, list[float]]],
     told = vectors.sparkSession.sparkContext.broadcast(asked)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [np.empty(0, "i8"), np.empty(0, "i8"), np.empty(0, "f8")]  # of all that the task has seen
         for b in batches:
             ids = np.asarray(b.column(0))
             for d, rows, x in _by_length(b.column(1)):
                 if d in told.value:
-                    yield _table(*_nearest(*told.value[d], ids[rows], x, k))
+                    best = _cut(*(np.concatenate(c) for c in zip(best, _nearest(*told.value[d], ids[rows], x, k), strict=True)), k)
+        yield _table(*best)
 
     out: dict[int, list[int]] = {}
     for r in _top(vectors.mapInArrow(scan, "query_id long, vec_id long, score double"), k).orderBy("query_id", "rank").collect():
